@@ -10,6 +10,7 @@ estimated over all fingerprints.
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -21,22 +22,29 @@ from kelpline.llm.common import materialise
 BITS = 64
 #: Members of a bucket that one task compares; larger buckets go by shared neighbours.
 BUCKET = 2048
+#: What a shuffled row costs, in comparisons of two fingerprints.
+ROW_COST = 500
 _CHUNK = 1 << 15
 
 
-def fingerprint_of(text: str | None, words: int = 3, seed: int = 42) -> int:
-    """The fingerprint of one text (0 where it has no word)."""
+def fingerprint_of(text: str | None, words: int = 3, seed: int = 42, distinct: bool = False) -> int:
+    """The fingerprint of one text (0 where it has no word).
+
+    ``distinct``: of its set of words, in place of its sequence of shingles.
+    """
     import xxhash
 
     digest = xxhash.xxh64_intdigest
     own = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not own:
         return 0
+    if distinct:
+        own, words = sorted(set(own)), 1
     if len(own) < words:
         return digest(b" ".join(own), seed)
     ends = np.cumsum([len(w) + 1 for w in own])
     joined = b" ".join(own)
-    starts = np.concatenate([[0], ends[:-words]]).tolist()
+    starts = np.concatenate([[0], ends])[: len(own) - words + 1].tolist()
     stops = (ends[words - 1 :] - 1).tolist()
     ones, n = np.zeros(BITS, dtype=np.int64), len(stops)
     for at in range(0, n, _CHUNK):
@@ -126,7 +134,7 @@ def allocate(costs: list[list[float]], distance: int) -> list[int]:
         for used, old in enumerate(table):
             if old is None:
                 continue
-            for t in range(-1, distance + 1):
+            for t in range(-1, len(cost)):
                 if used + t + 1 > need:
                     break
                 own = old[0] + (cost[t] if t >= 0 else 0.0)
@@ -155,18 +163,34 @@ def keyed(fps: DataFrame, masks: list[int]) -> DataFrame:
     return fps.select("fp", F.explode(keys).alias("key")).select("key.tag", "key.value", "fp")
 
 
-def chosen_masks(fps: DataFrame, distance: int, parts: int) -> list[int]:
-    """Masks for the fingerprints at hand, from counts over all of them."""
+def chosen_masks(fps: DataFrame, distance: int, parts: tuple[int, ...], bucket: int = BUCKET) -> list[int]:
+    """Masks for the fingerprints at hand, from counts over all of them.
+
+    ``parts``: numbers of partitions to weigh against each other.
+
+    What a partition costs under a threshold: the comparisons within its
+    buckets, as counted for threshold 0 (a large bucket costs its shared
+    neighbours instead) and scaled to higher thresholds by how often its bits
+    disagree, and the rows for its masks, each as dear as ROW_COST comparisons.
+    """
     n, both = co_occurrence(fps)
-    groups = grouped_bits(n, both, parts)
-    whole = keyed(fps, probes(groups, [0] * parts))
-    pairs = {r[0]: float(r[1]) for r in whole.groupBy("tag", "value").count().groupBy("tag").agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).collect()}
     p = np.diag(both) / max(n, 1)
-    costs = []
-    for k, bits in enumerate(groups):
-        reach = within(2 * p[bits] * (1 - p[bits]), distance)
-        costs.append([(pairs.get(k, 0.0) + 1) * reach[t] / max(reach[0], 1e-12) for t in range(distance + 1)])
-    return probes(groups, allocate(costs, distance))
+    c = F.col("count").cast("double")
+    cost = F.when(c > bucket, c * (BITS + 1) * ROW_COST).otherwise(c * (c - 1) / 2)
+    best: tuple[float, list[int]] | None = None
+    for m in parts:
+        groups = grouped_bits(n, both, m)
+        whole = keyed(fps, probes(groups, [0] * m)).groupBy("tag", "value").count()
+        counted = {r[0]: float(r[1]) for r in whole.groupBy("tag").agg(F.sum(cost)).collect()}
+        costs = []
+        for k, bits in enumerate(groups):
+            reach = within(2 * p[bits] * (1 - p[bits]), distance)
+            costs.append([(counted.get(k, 0.0) + 1) * reach[t] / max(reach[0], 1e-12) + ROW_COST * n * comb(len(bits), t) for t in range(min(distance, len(bits)) + 1)])
+        thresholds = allocate(costs, distance)
+        total = sum(costs[k][t] for k, t in enumerate(thresholds) if t >= 0)
+        if best is None or total < best[0]:
+            best = (total, probes(groups, thresholds))
+    return best[1]
 
 
 # -------------------------------------------------------------------- links
@@ -200,25 +224,31 @@ def _verified(groups: DataFrame, distance: int) -> DataFrame:
     return groups.mapInArrow(run, "a long, b long")
 
 
-def links(fps: DataFrame, distance: int = 2, parts: int = 3, bucket: int = BUCKET) -> DataFrame:
+def links(fps: DataFrame, distance: int = 2, parts: tuple[int, ...] = (3,), bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) within ``distance`` that span every component of ``fps``.
 
-    Buckets of up to ``bucket`` fingerprints are compared in one task each. The
-    members of larger buckets are matched exactly without comparing them all:
-    two of them link only if they share a point within half the distance of
-    both, and at most 65 fingerprints lie around such a point.
+    Buckets of up to ``bucket`` fingerprints are compared in one task each.
+    Larger ones are matched just as exactly in other ways. Up to distance 2,
+    two fingerprints link only if a point within one bit of both exists, and at
+    most 65 lie around a point. Beyond, a bucket is dealt into chunks and every
+    two chunks meet in a task of their own.
     """
-    if not 0 <= distance <= 2:
-        raise ValueError("distance must be 0, 1 or 2")
-    keys = keyed(fps, chosen_masks(fps, distance, parts))
-    sizes = keys.groupBy("tag", "value").count().where("count > 1")
-    shared = keys.join(sizes, ["tag", "value"])
-    small = shared.where(F.col("count") <= bucket).groupBy("tag", "value").agg(F.collect_list("fp").alias("own")).select("own")
-    points = F.array(F.lit(0), *[F.lit(_signed(1 << b)) for b in range(BITS)])
-    around = shared.where(F.col("count") > bucket).select("fp").distinct().select("fp", F.explode(points).alias("flip"))
-    around = around.groupBy(F.col("fp").bitwiseXOR(F.col("flip")).alias("point")).agg(F.collect_list("fp").alias("own"))
-    around = around.where(F.size("own") > 1).select("own")
-    return _verified(small.unionByName(around), distance).distinct()
+    keys = keyed(fps, chosen_masks(fps, distance, parts, bucket))
+    large = materialise(keys.groupBy("tag", "value").count().where(F.col("count") > bucket))
+    some = not large.isEmpty()
+    few = keys.join(large, ["tag", "value"], "left_anti") if some else keys
+    own = few.groupBy("tag", "value").agg(F.collect_list("fp").alias("own")).where(F.size("own") > 1).select("own")
+    if some and distance <= 2:
+        points = F.array(F.lit(0), *[F.lit(_signed(1 << b)) for b in range(BITS)])
+        around = keys.join(large, ["tag", "value"], "left_semi").select("fp").distinct().select("fp", F.explode(points).alias("flip"))
+        around = around.groupBy(F.col("fp").bitwiseXOR(F.col("flip")).alias("point")).agg(F.collect_list("fp").alias("own"))
+        own = own.unionByName(around.where(F.size("own") > 1).select("own"))
+    elif some:
+        chunks = F.ceil(F.col("count") / bucket).cast("long")
+        dealt = keys.join(large, ["tag", "value"]).withColumn("mine", F.pmod(F.xxhash64("fp"), chunks)).select("*", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("other"))
+        met = dealt.groupBy("tag", "value", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two")).agg(F.collect_list("fp").alias("own"))
+        own = own.unionByName(met.select("own"))
+    return _verified(own, distance).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -244,7 +274,7 @@ def components(edges: DataFrame) -> DataFrame:
             return own
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, parts: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, parts: tuple[int, ...] = (3,)) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id for every row.
 
     component_id is the smallest doc_id reachable through fingerprints that
@@ -266,3 +296,83 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, parts: i
     named = of.select("fp", "parent").join(least, "parent").select("fp", "component_id")
     named = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     return fp.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# ------------------------------------------------------------ deduplication
+
+
+def shingle_hashes(text: str | None, words: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles (fewer words: of all of them)."""
+    import xxhash
+
+    own = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    joined, ends = b" ".join(own), np.cumsum([0, *(len(w) + 1 for w in own)]).tolist()
+    n = max(len(own) - words + 1, 1)
+    return np.unique(np.array([xxhash.xxh64_intdigest(joined[ends[i] : ends[min(i + words, len(own))] - 1], 0) for i in range(n)] if own else [0], dtype=np.uint64).view(np.int64))
+
+
+def _sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, copy (hash of the text) and fp (of its set of words), a row a document."""
+    schema = pa.schema([("doc_id", pa.int64()), ("copy", pa.string()), ("fp", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            fps = np.array([fingerprint_of(t.as_py(), distinct=True) for t in batch.column(2)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], schema=schema)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _copy().alias("copy"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, copy string, fp long")
+
+
+def _copy():
+    return F.md5(F.coalesce(F.col("text"), F.lit("")))
+
+
+def _shingled(members: DataFrame, words: int) -> DataFrame:
+    schema = pa.schema([("parent", pa.int64()), ("copy", pa.string()), ("first", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([shingle_hashes(t.as_py(), words) for t in batch.column(3)], pa.list_(pa.int64()))], schema=schema)
+
+    return members.select("parent", "copy", "first", "text").mapInArrow(run, "parent long, copy string, first long, shingles array<long>")
+
+
+def deduplicate(docs: DataFrame, similarity: float = 0.8, words: int = 5, distance: int = 6, parts: tuple[int, ...] = (4, 5, 6, 7)) -> DataFrame:
+    """One document of each group of near copies, with all its columns.
+
+    Candidates: SimHash fingerprints of the documents' sets of words within
+    ``distance`` bits, found by the generalised pigeonhole, and their
+    components. Within a component, the document with the smallest doc_id leads:
+    those whose sets of ``words``-word shingles have a Jaccard similarity of
+    at least ``similarity`` to it go, the rest choose their next leader, until
+    all are settled. So every document that goes is a checked near copy of one
+    that stays. Of equal texts the smallest doc_id stays, once; null and empty
+    texts are equal.
+
+    Scale: only texts that share a component with others are read again. Both
+    joins by component are skew joins at worst: one side has a row a component.
+    """
+    sketch = materialise(_sketches(docs))
+    texts = materialise(sketch.groupBy("copy", "fp").agg(F.min("doc_id").alias("first")))
+    labels = components(links(texts.select("fp").distinct(), distance, parts))
+    grouped = texts.join(labels.select(F.col("node").alias("fp"), "parent"), "fp", "left").withColumn("parent", F.coalesce("parent", "fp"))
+    several = grouped.groupBy("parent").count().where("count > 1").select("parent")
+    members = materialise(grouped.join(several, "parent").select("parent", "copy", "first"))
+    source = docs.select(F.col("doc_id").cast("long").alias("id"), _copy().alias("same"), "text")
+    wanted = source.join(members, (F.col("same") == F.col("copy")) & F.col("id").eqNullSafe(F.col("first"))).dropDuplicates(["copy"])
+    open_ = materialise(_shingled(wanted, words))
+    gone: DataFrame | None = None
+    while not open_.isEmpty():
+        leader = open_.groupBy("parent").agg(F.min(F.struct("first", "copy")).alias("l")).select("parent", F.col("l.copy").alias("copy"))
+        led = open_.join(leader, ["parent", "copy"]).select("parent", F.col("copy").alias("leader"), F.col("shingles").alias("led"))
+        both = F.size(F.array_intersect("shingles", "led"))
+        near = both >= F.lit(similarity) * (F.size("shingles") + F.size("led") - both)
+        judged = materialise(open_.join(led, "parent").where("copy <> leader").withColumn("near", near).drop("led", "leader"))
+        out = judged.where("near").select("copy")
+        gone = out if gone is None else gone.unionByName(out)
+        open_ = judged.where("not near").drop("near")
+    stay = texts.select("copy", "first")
+    stay = stay.join(gone, "copy", "left_anti") if gone is not None else stay
+    own = docs.select(_copy().alias("same"), F.col("doc_id").cast("long").alias("id"), F.struct(*docs.columns).alias("row"))
+    kept = own.join(stay, (F.col("same") == F.col("copy")) & F.col("id").eqNullSafe(F.col("first")))
+    return kept.dropDuplicates(["same", "id"]).select("row.*")
