@@ -2,11 +2,5 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from kelpline.plans import relation_queries, sample_queries, sync_queries  # noqa: F401  they register themselves
+from kelpline.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
