@@ -213,8 +213,9 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
     stats = materialise(with_statistics(docs))
     mean = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("label"))
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("fold")
-    labelled = materialise(stats.where("not held_out").join(mean, "doc_id").select(fold, "stats", "label"))
+    labelled = stats.where("not held_out").join(mean, "doc_id").select(fold, "stats", "label").persist()
     model = fit(labelled)
+    labelled.unpersist()
 
     def run(batches):
         for batch in batches:
