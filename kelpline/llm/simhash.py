@@ -9,10 +9,13 @@ estimated over all fingerprints.
 
 from __future__ import annotations
 
+import functools
+from collections import Counter
 from itertools import combinations
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +25,8 @@ from kelpline.llm.common import materialise
 BITS = 64
 #: Members of a bucket that one task compares; larger buckets go by shared neighbours.
 BUCKET = 2048
+#: Members of a component, and their shingles, that one task settles; larger ones lose their leaders' copies in rounds.
+MEMBERS, SHINGLES = 4096, 4_000_000
 #: What a shuffled row costs, in comparisons of two fingerprints.
 ROW_COST = 500
 _CHUNK = 1 << 15
@@ -312,15 +317,67 @@ def shingle_hashes(text: str | None, words: int = 5) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, copy (hash of the text) and fp (of its set of words), a row a document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("copy", pa.string()), ("fp", pa.int64())])
+    """doc_id, copy (hash of the text), fp (of its set of words) and other (of its word triples)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("copy", pa.string()), ("fp", pa.int64()), ("other", pa.int64())])
 
     def run(batches):
         for batch in batches:
-            fps = np.array([fingerprint_of(t.as_py(), distinct=True) for t in batch.column(2)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], schema=schema)
+            texts = batch.column(2).to_pylist()
+            fps = [np.array([fingerprint_of(t, distinct=d) for t in texts], dtype=np.uint64).view(np.int64) for d in (True, False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, fps)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _copy().alias("copy"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, copy string, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _copy().alias("copy"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, copy string, fp long, other long")
+
+
+def joined(fps: np.ndarray, others: np.ndarray, distance: int, other_distance: int) -> np.ndarray:
+    """For each member of a bucket, the first member that it is connected to."""
+    a, b = fps.view(np.uint64), others.view(np.uint64)
+    near = (np.bitwise_count(a[:, None] ^ a) <= distance) & (np.bitwise_count(b[:, None] ^ b) <= other_distance)
+    label = np.arange(len(a))
+    while True:
+        new = np.where(near, label, len(a)).min(axis=1)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def item_links(items: DataFrame, distance: int, other_distance: int, parts: tuple[int, ...], bucket: int = BUCKET) -> DataFrame:
+    """Links (a, b) among (id, fp, other) rows that are near by both fingerprints.
+
+    Candidates by the generalised pigeonhole on ``fp``; both distances are
+    checked. Buckets of over ``bucket`` rows are dealt into chunks, and every two
+    chunks meet in a task of their own.
+    """
+    masks = chosen_masks(items.select("fp"), distance, parts, bucket)
+    keys = F.array(*[F.struct(F.lit(k).alias("tag"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("value")) for k, m in enumerate(masks)])
+    keys = items.select(F.struct("id", "fp", "other").alias("item"), F.explode(keys).alias("key")).select("key.tag", "key.value", "item")
+    large = materialise(keys.groupBy("tag", "value").count().where(F.col("count") > bucket))
+    some = not large.isEmpty()
+    few = keys.join(large, ["tag", "value"], "left_anti") if some else keys
+    own = few.groupBy("tag", "value").agg(F.collect_list("item").alias("own")).where(F.size("own") > 1).select("own")
+    if some:
+        chunks = F.ceil(F.col("count") / bucket).cast("long")
+        dealt = keys.join(large, ["tag", "value"]).withColumn("mine", F.pmod(F.xxhash64("item"), chunks)).select("*", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("met"))
+        met = dealt.groupBy("tag", "value", F.least("mine", "met").alias("one"), F.greatest("mine", "met").alias("two")).agg(F.collect_list("item").alias("own"))
+        own = own.unionByName(met.select("own"))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(0)
+            held, ends = lists.flatten(), np.cumsum([0, *(len(x) for x in lists)])
+            ids, fps, others = (held.field(k).to_numpy() for k in range(3))
+            out: list[tuple[np.ndarray, np.ndarray]] = []
+            for at, end in zip(ends, ends[1:], strict=False):
+                label = joined(fps[at:end], others[at:end], distance, other_distance)
+                moved = np.nonzero(label != np.arange(end - at))[0]
+                if len(moved):
+                    out.append((ids[at:end][moved], ids[at:end][label[moved]]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=schema)
+
+    return own.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
 def _copy():
@@ -337,15 +394,37 @@ def _shingled(members: DataFrame, words: int) -> DataFrame:
     return members.select("parent", "copy", "first", "text").mapInArrow(run, "parent long, copy string, first long, shingles array<long>")
 
 
-def deduplicate(docs: DataFrame, similarity: float = 0.8, words: int = 5, distance: int = 6, parts: tuple[int, ...] = (4, 5, 6, 7)) -> DataFrame:
+def settled(first, copy, shingles, similarity: float) -> list[str]:
+    """The copies of a component that go, each near a leader before it in order of doc_id.
+
+    Leaders are found through the shingles that they share with a document.
+    """
+    order = sorted(range(len(copy)), key=lambda i: (first.iloc[i] == first.iloc[i], first.iloc[i] if first.iloc[i] == first.iloc[i] else 0, copy.iloc[i]))
+    holders: dict[int, list[int]] = {}
+    sizes, gone = [], []
+    for i in order:
+        own = shingles.iloc[i].tolist()
+        shared = Counter(leader for s in own for leader in holders.get(s, ()))
+        if any(n >= similarity * (len(own) + sizes[leader] - n) for leader, n in shared.items()):
+            gone.append(copy.iloc[i])
+            continue
+        for s in own:
+            holders.setdefault(s, []).append(len(sizes))
+        sizes.append(len(own))
+    return gone
+
+
+def deduplicate(docs: DataFrame, similarity: float = 0.8, words: int = 5, distance: int = 8, other_distance: int = 14, parts: tuple[int, ...] = (5, 6, 7)) -> DataFrame:
     """One document of each group of near copies, with all its columns.
 
     Candidates: SimHash fingerprints of the documents' sets of words within
-    ``distance`` bits, found by the generalised pigeonhole, and their
-    components. Within a component, the document with the smallest doc_id leads:
+    ``distance`` bits, found by the generalised pigeonhole, whose fingerprints of
+    word triples are within ``other_distance`` bits, and their components.
+    Within a component, the document with the smallest doc_id leads:
     those whose sets of ``words``-word shingles have a Jaccard similarity of
     at least ``similarity`` to it go, the rest choose their next leader, until
-    all are settled. So every document that goes is a checked near copy of one
+    all are settled (in one task where the component is small, else in rounds
+    over all large components). So every document that goes is a checked near copy of one
     that stays. Of equal texts the smallest doc_id stays, once; null and empty
     texts are equal.
 
@@ -353,26 +432,33 @@ def deduplicate(docs: DataFrame, similarity: float = 0.8, words: int = 5, distan
     joins by component are skew joins at worst: one side has a row a component.
     """
     sketch = materialise(_sketches(docs))
-    texts = materialise(sketch.groupBy("copy", "fp").agg(F.min("doc_id").alias("first")))
-    labels = components(links(texts.select("fp").distinct(), distance, parts))
-    grouped = texts.join(labels.select(F.col("node").alias("fp"), "parent"), "fp", "left").withColumn("parent", F.coalesce("parent", "fp"))
+    texts = materialise(sketch.groupBy("copy", "fp", "other").agg(F.min("doc_id").alias("first")).withColumn("id", F.xxhash64("copy")))
+    labels = components(item_links(texts, distance, other_distance, parts))
+    grouped = texts.join(labels.select(F.col("node").alias("id"), "parent"), "id").select("parent", "copy", "first")
     several = grouped.groupBy("parent").count().where("count > 1").select("parent")
     members = materialise(grouped.join(several, "parent").select("parent", "copy", "first"))
     source = docs.select(F.col("doc_id").cast("long").alias("id"), _copy().alias("same"), "text")
     wanted = source.join(members, (F.col("same") == F.col("copy")) & F.col("id").eqNullSafe(F.col("first"))).dropDuplicates(["copy"])
     open_ = materialise(_shingled(wanted, words))
-    gone: DataFrame | None = None
-    while not open_.isEmpty():
-        leader = open_.groupBy("parent").agg(F.min(F.struct("first", "copy")).alias("l")).select("parent", F.col("l.copy").alias("copy"))
-        led = open_.join(leader, ["parent", "copy"]).select("parent", F.col("copy").alias("leader"), F.col("shingles").alias("led"))
+    gone: list[DataFrame] = []
+    while True:
+        size = open_.groupBy("parent").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("shingles")).alias("shingles"))
+        large = materialise(size.where((F.col("n") > MEMBERS) | (F.col("shingles") > SHINGLES)).select("parent"))
+        if large.isEmpty():
+            break
+        own = open_.join(large, "parent")
+        leader = own.groupBy("parent").agg(F.min(F.struct("first", "copy")).alias("l")).select("parent", F.col("l.copy").alias("copy"))
+        led = own.join(leader, ["parent", "copy"]).select("parent", F.col("copy").alias("leader"), F.col("shingles").alias("led"))
         both = F.size(F.array_intersect("shingles", "led"))
         near = both >= F.lit(similarity) * (F.size("shingles") + F.size("led") - both)
-        judged = materialise(open_.join(led, "parent").where("copy <> leader").withColumn("near", near).drop("led", "leader"))
-        out = judged.where("near").select("copy")
-        gone = out if gone is None else gone.unionByName(out)
-        open_ = judged.where("not near").drop("near")
+        judged = materialise(own.join(led, "parent").where("copy <> leader").withColumn("near", near).drop("led", "leader"))
+        gone.append(judged.where("near").select("copy"))
+        open_ = materialise(open_.join(large, "parent", "left_anti").unionByName(judged.where("not near").drop("near")))
+    settle = lambda pdf: pd.DataFrame({"copy": settled(pdf["first"], pdf["copy"], pdf["shingles"], similarity)}, dtype=object)
+    gone.append(open_.groupBy("parent").applyInPandas(settle, "copy string"))
+    every = materialise(functools.reduce(DataFrame.unionByName, gone))
     stay = texts.select("copy", "first")
-    stay = stay.join(gone, "copy", "left_anti") if gone is not None else stay
+    stay = stay.join(every, "copy", "left_anti")
     own = docs.select(_copy().alias("same"), F.col("doc_id").cast("long").alias("id"), F.struct(*docs.columns).alias("row"))
     kept = own.join(stay, (F.col("same") == F.col("copy")) & F.col("id").eqNullSafe(F.col("first")))
     return kept.dropDuplicates(["same", "id"]).select("row.*")
