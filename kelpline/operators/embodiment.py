@@ -110,3 +110,13 @@ def resolve_names(wanted: DataFrame, private: DataFrame, shared: DataFrame, name
     both = private.select(name, key, F.lit(0).alias("rank")).unionByName(shared.select(name, key, F.lit(1).alias("rank")))
     best = both.groupBy(name).agg(F.min(F.struct("rank", key)).getField(key).alias(key))
     return wanted.join(best, name, "left")
+
+
+def with_limits(samples: DataFrame, limits: DataFrame, joint: str = "joint") -> DataFrame:
+    """Attaches a joint's limits; a joint that the table doesn't have is an error at run time.
+
+    Limits themselves may be null. The table is a robot's description.
+    """
+    met = samples.join(F.broadcast(limits.withColumn("known", F.lit(True))), joint, "left")
+    unknown = F.raise_error(F.concat(F.lit("no such joint: "), F.col(joint))).cast("boolean")
+    return met.where(F.when(F.col("known").isNull(), unknown).otherwise(F.lit(True))).drop("known")

@@ -39,12 +39,15 @@ def drop_last_frame(rows: DataFrame, by: list[str], order: list[str]) -> DataFra
     return rows.withColumn("later", F.lead(F.lit(1)).over(_line(by, order))).where("later is not null").drop("later")
 
 
-def episode_offsets(rows: DataFrame, by: str) -> DataFrame:
+def episode_offsets(rows: DataFrame, by: str, strict: bool = False) -> DataFrame:
     """samples (length less one) and start offset of each recording, in order of its id.
 
-    One row a recording reaches the unpartitioned window.
+    ``strict``: a recording of one frame is an error at run time. One row a
+    recording reaches the unpartitioned window.
     """
-    lengths = rows.groupBy(by).agg((F.count(F.lit(1)) - 1).alias("samples"))
+    n = F.count(F.lit(1)) - 1
+    n = F.when(n > 0, n).otherwise(F.raise_error(F.lit("a recording has a single frame")).cast("long")) if strict else n
+    lengths = rows.groupBy(by).agg(n.alias("samples"))
     before = F.sum("samples").over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1))
     return lengths.withColumn("first_sample", F.coalesce(before, F.lit(0)))
 
@@ -129,6 +132,7 @@ def contiguous_parts(rows: DataFrame, order: str, parts: int, total: int) -> Dat
 def train_validation_split(rows: DataFrame, key: str, validation: float, seed: int) -> DataFrame:
     """Exactly int((1 - validation) * n) rows train, by a hash of their key.
 
+    A split that leaves either side empty is an error at run time.
     The cut is found from counts of hash prefixes; only the rows of the one
     prefix that holds it are ranked.
     """
@@ -139,6 +143,7 @@ def train_validation_split(rows: DataFrame, key: str, validation: float, seed: i
     placed = hashed.join(prefixes, F.substring("h", 1, 3) == F.col("prefix"))
     rank = F.col("before") + F.row_number().over(Window.partitionBy("prefix").orderBy("h", key))
     train = F.floor(F.lit(1.0 - validation) * F.col("n"))
+    train = F.when((train > 0) & (train < F.col("n")), train).otherwise(F.raise_error(F.lit("a side of the split is empty")).cast("long"))
     return placed.withColumn("split", F.when(rank <= train, "train").otherwise("validation")).drop("h", "prefix", "before", "n")
 
 

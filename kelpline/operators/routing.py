@@ -72,3 +72,10 @@ def admitted(frames: DataFrame, by: str, order: list[str], size: str, budget: in
     """Frames while the running sum of sizes stays within a budget."""
     line = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return frames.withColumn("used", F.sum(size).over(line)).where(F.col("used") <= budget)
+
+
+def flushed(windows: DataFrame, producers: DataFrame, flushes: DataFrame) -> DataFrame:
+    """Windows all of whose producers have reported a flush: (window_id, producer) tables."""
+    owed = producers.join(flushes.select("window_id", "producer").distinct().withColumn("done", F.lit(True)), ["window_id", "producer"], "left")
+    ready = owed.groupBy("window_id").agg(F.bool_and(F.coalesce("done", F.lit(False))).alias("ready"))
+    return windows.join(ready, "window_id", "left").where(F.coalesce("ready", F.lit(True))).drop("ready")

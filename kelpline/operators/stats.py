@@ -48,9 +48,15 @@ def metric_average(metrics: DataFrame, step: str = "step", key: str = "key", val
     return sums.join(F.broadcast(steps)).select(key, (F.col("total") / F.col("steps")).alias("average"))
 
 
-def linear_fit(points: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Least-squares slope and intercept of y on x, for each group."""
-    return points.groupBy(*by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
+def linear_fit(points: DataFrame, by: list[str], x: str, y: str, rising: bool = False) -> DataFrame:
+    """Least-squares slope and intercept of y on x, for each group.
+
+    ``rising``: a slope that isn't positive is an error at run time.
+    """
+    fit = points.groupBy(*by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
+    if rising:
+        fit = fit.withColumn("slope", F.when(F.col("slope") > 0, F.col("slope")).otherwise(F.raise_error(F.lit("the slope is not positive")).cast("double")))
+    return fit
 
 
 def phase_summary(phases: DataFrame, phase: str, seconds: str, failed: str) -> DataFrame:
