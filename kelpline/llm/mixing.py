@@ -62,16 +62,17 @@ def plan(docs: DataFrame, share: float = 1.5, most: int = 2, weights: tuple[int,
     named = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     row = [F.struct(*docs.columns).alias("row")] * whole
     sized = docs.select("doc_id", "source", words_in(F.col("text")).alias("size"), named.alias("named"), *row)
-    sized = sized.withColumn("part", F.substring("named", 1, 3))
+    # null-safe keys of plain equality: the window and the join then share one shuffle
+    keys = ["no_source", "source_key", "part"]
+    sized = sized.withColumns({"no_source": F.col("source").isNull(), "source_key": F.coalesce("source", F.lit("")), "part": F.substring("named", 1, 3)})
     sized = sized if whole else materialise(sized)
-    parts = sized.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
+    parts = sized.groupBy("source", *keys).agg(F.sum("size").alias("part_size"))
     sources = targets(parts.groupBy("source").agg(F.sum("part_size").alias("source_size")), share, most, weights, slopes)
-    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("part_size").over(earlier), F.lit(0)).alias("part_before"))
-    facts = parts.join(sources, F.col("s").eqNullSafe(F.col("source"))).drop("source")
-    line = Window.partitionBy("source", "part").orderBy("named", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    laid = sized.withColumn("inside", F.coalesce(F.sum("size").over(line), F.lit(0)))
-    laid = laid.join(facts, (F.col("source").eqNullSafe(F.col("s"))) & (F.col("part") == F.col("p")))
+    earlier = Window.partitionBy(*keys[:2]).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("source", *keys, F.coalesce(F.sum("part_size").over(earlier), F.lit(0)).alias("part_before"))
+    facts = parts.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
+    line = Window.partitionBy(*keys).orderBy("named", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    laid = sized.withColumn("inside", F.coalesce(F.sum("size").over(line), F.lit(0))).join(facts, keys)
     want = F.floor(F.col("target") + 0.5)
     before = F.col("part_before") + F.col("inside")
     rounds = [F.greatest(F.least(want - before - F.col("source_size") * k, F.col("size")), F.lit(0)) for k in range(most)]
