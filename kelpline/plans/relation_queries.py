@@ -12,15 +12,15 @@ from kelpline.plans.registry import micros, query, table
 
 _WINDOWS = """data AS (SELECT user_id % 10 AS source, epoch_us(ts) AS ts, event_id AS row_id FROM events),
 windows AS (SELECT user_id % 10 AS source, event_id AS window_id, epoch_us(ts) AS start,
-  CASE WHEN event_id % 3 = 0 THEN NULL ELSE epoch_us(ts) + 7200000000 END AS stop FROM events WHERE event_type = 'signup' AND event_id % 4 < 2)"""
+  CASE WHEN value > 50 THEN NULL ELSE epoch_us(ts) + 7200000000 END AS stop FROM events WHERE event_type = 'signup')"""
 
 
 def _routed(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     ts = micros(F.col("ts"))
     data = e.select((F.col("user_id") % 10).alias("source"), ts.alias("ts"), F.col("event_id").alias("row_id"))
-    w = e.where((F.col("event_type") == "signup") & (F.col("event_id") % 4 < 2))
-    return data, w.select((F.col("user_id") % 10).alias("source"), F.col("event_id").alias("window_id"), ts.alias("start"), F.when(F.col("event_id") % 3 != 0, ts + 7_200_000_000).alias("stop"))
+    w = e.where(F.col("event_type") == "signup")
+    return data, w.select((F.col("user_id") % 10).alias("source"), F.col("event_id").alias("window_id"), ts.alias("start"), F.when(F.col("value") <= 50, ts + 7_200_000_000).alias("stop"))
 
 
 @query("interval_routing", f"""WITH {_WINDOWS}, closed AS (SELECT source, window_id, start, coalesce(stop, lead(start) OVER (PARTITION BY source ORDER BY start, window_id)) AS stop FROM windows),
@@ -57,11 +57,11 @@ def idle_close(spark, sf_dir):
     return routing.idle_closed(d, "source", 43_200_000_000)
 
 
-@query("cancel_purge", """WITH d AS (SELECT user_id AS source, epoch_us(ts) AS ts, event_id AS row_id, event_type FROM events), c AS (SELECT source, max(ts) AS cancel_ts FROM d WHERE event_type = 'error' AND row_id % 5 = 0 GROUP BY source)
+@query("cancel_purge", """WITH d AS (SELECT user_id AS source, epoch_us(ts) AS ts, event_id AS row_id, event_type, value FROM events), c AS (SELECT source, max(ts) AS cancel_ts FROM d WHERE event_type = 'error' AND value > 100 GROUP BY source)
 SELECT d.source, d.ts, d.row_id FROM d LEFT JOIN c USING (source) WHERE cancel_ts IS NULL OR d.ts > cancel_ts""")
 def cancel_purge(spark, sf_dir):
-    d = table(spark, sf_dir, "events").select(F.col("user_id").alias("source"), micros(F.col("ts")).alias("ts"), F.col("event_id").alias("row_id"), "event_type")
-    return routing.cancelled(d, d.where("event_type = 'error' and row_id % 5 = 0")).select("source", "ts", "row_id")
+    d = table(spark, sf_dir, "events").select(F.col("user_id").alias("source"), micros(F.col("ts")).alias("ts"), F.col("event_id").alias("row_id"), "event_type", "value")
+    return routing.cancelled(d, d.where("event_type = 'error' and value > 100")).select("source", "ts", "row_id")
 
 
 @query("budgeted_admission", """WITH u AS (SELECT l_suppkey, l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice ROWS UNBOUNDED PRECEDING) AS used FROM lineitem)
@@ -116,24 +116,22 @@ def claim_oldest_n(spark, sf_dir):
     return state.claim_oldest(o, "updated_us", "o_orderkey", 25, now=1 << 60, least_age=60_000_000)
 
 
-@query("claim_retries", "SELECT o_orderkey FROM orders WHERE o_orderkey % 4 < 3 AND epoch_us(o_orderdate) < 800000000000000 ORDER BY o_orderdate, o_orderkey LIMIT 40")
+@query("claim_retries", "SELECT o_orderkey FROM orders WHERE substr(o_orderpriority, 1, 1)::INT < 3 AND epoch_us(o_orderdate) < 800000000000000 ORDER BY o_orderdate, o_orderkey LIMIT 40")
 def claim_retries(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 4).alias("attempts"), micros(F.col("o_orderdate")).alias("updated_us"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.substring("o_orderpriority", 1, 1).cast("int").alias("attempts"), micros(F.col("o_orderdate")).alias("updated_us"))
     return state.claim_retries(o, "attempts", 3, "updated_us", 800_000_000_000_000, "o_orderkey", 40).select("o_orderkey")
 
 
-@query("ordered_traces", "SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS place FROM lineitem WHERE l_orderkey < 200 QUALIFY place <= 500")
+@query("ordered_traces", "SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS place FROM lineitem")
 def ordered_traces(spark, sf_dir):
-    from pyspark.sql.window import Window
-
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
-    top = table(spark, sf_dir, "lineitem").where("l_orderkey < 200").orderBy(*order).limit(500)
-    return top.select("l_orderkey", "l_linenumber", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
+    placed = episodes.frame_index(table(spark, sf_dir, "lineitem"), ["l_suppkey"], order, "place")
+    return placed.select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "place")
 
 
-@query("latest_match", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey % 10 = 3 AND o_orderstatus <> 'P' ORDER BY o_orderkey DESC LIMIT 1")
+@query("latest_match", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus <> 'P' ORDER BY o_orderkey DESC LIMIT 1")
 def latest_match(spark, sf_dir):
-    return state.latest_match(table(spark, sf_dir, "orders"), "o_custkey % 10 = 3 and o_orderstatus <> 'P'", "o_orderkey").select("o_orderkey", "o_custkey")
+    return state.latest_match(table(spark, sf_dir, "orders"), "o_orderpriority = '1-URGENT' and o_orderstatus <> 'P'", "o_orderkey").select("o_orderkey", "o_custkey")
 
 
 @query("ready_count", "SELECT count(*) AS ready FROM lineitem WHERE l_linestatus = 'F' AND l_quantity > 10")
@@ -176,10 +174,10 @@ def cascade_delete(spark, sf_dir):
     return state.cascade_delete(o, t, "l_orderkey", F.col("o_orderstatus") == "F")[1].groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_traces"))
 
 
-@query("insert_once", "SELECT DISTINCT o_custkey AS key FROM orders WHERE o_orderstatus = 'F' UNION SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0")
+@query("insert_once", "SELECT DISTINCT o_custkey AS key FROM orders WHERE o_orderstatus = 'F' UNION SELECT c_custkey FROM customer WHERE c_acctbal > 0")
 def insert_once(spark, sf_dir):
     old = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("key")).distinct()
-    return state.inserted_once(old, table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("key")), "key")
+    return state.inserted_once(old, table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("key")), "key")
 
 
 @query("compare_and_set", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'claimed' ELSE o_orderstatus END AS o_orderstatus FROM orders")
@@ -191,13 +189,13 @@ def compare_and_set(spark, sf_dir):
 # ----------------------------------------------------------------- datasets
 
 
-@query("merge_datasets", "SELECT DISTINCT o_orderkey AS recording_id FROM orders WHERE o_custkey % 2 = 0 OR o_orderstatus = 'F'")
+@query("merge_datasets", "SELECT DISTINCT o_orderkey AS recording_id FROM orders WHERE o_totalprice > 150000 OR o_orderstatus = 'F'")
 def merge_datasets(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("recording_id"), "o_custkey", "o_orderstatus")
-    return datasets.merged(o.where("o_custkey % 2 = 0"), o.where("o_orderstatus = 'F'")).select("recording_id")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("recording_id"), "o_totalprice", "o_orderstatus")
+    return datasets.merged(o.where("o_totalprice > 150000"), o.where("o_orderstatus = 'F'")).select("recording_id")
 
 
-@query("distinct_recordings", "SELECT count(DISTINCT o_orderkey) AS recordings FROM (SELECT o_orderkey FROM orders WHERE o_custkey % 2 = 0 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+@query("distinct_recordings", "SELECT count(DISTINCT o_orderkey) AS recordings FROM (SELECT o_orderkey FROM orders WHERE o_totalprice > 150000 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def distinct_recordings(spark, sf_dir):
     return merge_datasets(spark, sf_dir).agg(F.count(F.lit(1)).alias("recordings"))
 
@@ -220,12 +218,13 @@ def recording_lookup(spark, sf_dir):
 
 # --------------------------------------------------------------- embodiment
 
-_NAMES = "SELECT c_nationkey AS robot, list_sort(list(DISTINCT c_mktsegment) FILTER (c_custkey % 3 = 0)) AS a, list_sort(list(DISTINCT c_mktsegment) FILTER (c_custkey % 3 = 1)) AS b FROM customer GROUP BY c_nationkey"
+_NAMES = "SELECT c_nationkey AS robot, list_sort(list(DISTINCT c_mktsegment) FILTER (c_acctbal < 1000)) AS a, list_sort(list(DISTINCT c_mktsegment) FILTER (c_acctbal > 8000)) AS b FROM customer GROUP BY c_nationkey"
 
 
 def _names(spark, sf_dir):
-    pick = lambda k: F.array_sort(F.collect_set(F.when(F.col("c_custkey") % 3 == k, F.col("c_mktsegment"))))
-    return table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("robot")).agg(pick(0).alias("a"), pick(1).alias("b"))
+    pick = lambda own: F.array_sort(F.collect_set(F.when(own, F.col("c_mktsegment"))))
+    balance = F.col("c_acctbal")
+    return table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("robot")).agg(pick(balance < 1000).alias("a"), pick(balance > 8000).alias("b"))
 
 
 @query("ordered_union", f"WITH n AS ({_NAMES}) SELECT robot, array_to_string(list_concat(coalesce(a, []), list_filter(coalesce(b, []), lambda x: NOT list_contains(coalesce(a, []), x))), ',') AS names FROM n")
@@ -238,25 +237,31 @@ def trained_intersection(spark, sf_dir):
     return _names(spark, sf_dir).select("robot", F.array_join(embodiment.intersection_or_union(F.col("a"), F.col("b")), ",").alias("names"))
 
 
-@query("missing_names", "WITH every AS (SELECT DISTINCT c_mktsegment AS name FROM customer) SELECT DISTINCT c.c_nationkey AS robot, e.name FROM customer c, every e EXCEPT SELECT c_nationkey, c_mktsegment FROM customer WHERE c_custkey % 4 = 0")
+@query("missing_names", "WITH every AS (SELECT DISTINCT c_mktsegment AS name FROM customer) SELECT DISTINCT c.c_nationkey AS robot, e.name FROM customer c, every e EXCEPT SELECT c_nationkey, c_mktsegment FROM customer WHERE c_acctbal > 8000")
 def missing_names(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("robot"), F.col("c_mktsegment").alias("name"), "c_custkey")
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("robot"), F.col("c_mktsegment").alias("name"), "c_acctbal")
     every = c.agg(F.collect_set("name").alias("names"))  # the segments: a handful
     wanted = c.select("robot").distinct().join(F.broadcast(every)).select("robot", F.explode("names").alias("name"))
-    return wanted.exceptAll(c.where("c_custkey % 4 = 0").select("robot", "name").distinct())
+    return wanted.exceptAll(c.where("c_acctbal > 8000").select("robot", "name").distinct())
+
+
+def _days(spark, sf_dir):
+    """Events with the day of their user as the recording: most days lack some sensor."""
+    day = F.floor(micros(F.col("ts")) / 86_400_000_000)
+    return table(spark, sf_dir, "events").withColumn("recording_day", F.concat_ws(":", "user_id", day))
 
 
-@query("required_types", """WITH u AS (SELECT user_id, list(DISTINCT event_type) AS seen FROM events WHERE event_id % 9 = 0 GROUP BY user_id)
-SELECT user_id, array_to_string(list_filter(['click', 'signup', 'view'], lambda x: NOT list_contains(seen, x)), ',') AS missing FROM u WHERE len(list_filter(['click', 'signup', 'view'], lambda x: NOT list_contains(seen, x))) > 0""")
+@query("required_types", """WITH u AS (SELECT user_id || ':' || (epoch_us(ts) // 86400000000) AS recording_day, list(DISTINCT event_type) AS seen FROM events GROUP BY 1)
+SELECT recording_day, array_to_string(list_filter(['click', 'signup', 'view'], lambda x: NOT list_contains(seen, x)), ',') AS missing FROM u WHERE len(list_filter(['click', 'signup', 'view'], lambda x: NOT list_contains(seen, x))) > 0""")
 def required_types(spark, sf_dir):
-    lack = embodiment.lacking(table(spark, sf_dir, "events").where("event_id % 9 = 0"), "user_id", "event_type", ["click", "signup", "view"])
-    return lack.select("user_id", F.array_join("missing", ",").alias("missing"))
+    lack = embodiment.lacking(_days(spark, sf_dir), "recording_day", "event_type", ["click", "signup", "view"])
+    return lack.select("recording_day", F.array_join("missing", ",").alias("missing"))
 
 
-@query("missing_type_report", """WITH u AS (SELECT user_id, list(DISTINCT event_type) AS seen FROM events WHERE event_id % 9 = 0 GROUP BY user_id), m AS (SELECT user_id, unnest(list_filter(['click', 'signup', 'view'], lambda x: NOT list_contains(seen, x))) AS missing FROM u)
-SELECT missing, array_to_string(list(user_id ORDER BY user_id), ',') AS groups FROM m GROUP BY missing""")
+@query("missing_type_report", """WITH u AS (SELECT user_id || ':' || (epoch_us(ts) // 86400000000) AS recording_day, list(DISTINCT event_type) AS seen FROM events GROUP BY 1), m AS (SELECT recording_day, unnest(list_filter(['click', 'signup', 'view'], lambda x: NOT list_contains(seen, x))) AS missing FROM u)
+SELECT missing, array_to_string(list(recording_day ORDER BY recording_day), ',') AS groups FROM m GROUP BY missing""")
 def missing_type_report(spark, sf_dir):
-    lack = embodiment.groups_by_lack(table(spark, sf_dir, "events").where("event_id % 9 = 0"), "user_id", "event_type", ["click", "signup", "view"])
+    lack = embodiment.groups_by_lack(_days(spark, sf_dir), "recording_day", "event_type", ["click", "signup", "view"])
     return lack.select("missing", F.array_join(F.col("groups").cast("array<string>"), ",").alias("groups"))
 
 
@@ -278,11 +283,9 @@ def project_lenient(spark, sf_dir):
     return embodiment.project_lenient(table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("sensor")), _layout(spark), "sensor").withColumnRenamed("sensor", "event_type")
 
 
-@query("missing_sensors", "SELECT DISTINCT u.user_id, s.sensor FROM events u, (VALUES ('view'), ('click'), ('purchase')) s(sensor) EXCEPT SELECT user_id, event_type FROM events WHERE event_id % 6 = 0")
+@query("missing_sensors", "WITH d AS (SELECT user_id || ':' || (epoch_us(ts) // 86400000000) AS recording_day, event_type FROM events) SELECT DISTINCT d.recording_day, s.sensor FROM d, (VALUES ('view'), ('click'), ('purchase')) s(sensor) EXCEPT SELECT recording_day, event_type FROM d")
 def missing_sensors(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("sensor"), "event_id")
-    some = e.select("user_id", F.when(F.col("event_id") % 6 == 0, F.col("sensor")).otherwise("none").alias("sensor"))
-    return embodiment.missing_sensors(some, _layout(spark), "user_id")
+    return embodiment.missing_sensors(_days(spark, sf_dir).withColumnRenamed("event_type", "sensor"), _layout(spark), "recording_day")
 
 
 @query("slot_width", "SELECT p_brand AS robot, greatest(max(p_size), 0) + 1 AS width FROM part GROUP BY p_brand")
@@ -310,11 +313,11 @@ def _mask_sql(k: int) -> str:
     return f"(count(*) FILTER (slot = {k}) > 0)::INT"
 
 
-@query("mask_and_pad", f"""WITH l AS (SELECT user_id AS recording_id, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 3 END AS slot, max(value) AS value
-  FROM events WHERE event_id % 6 = 0 AND event_type IN ('view', 'click', 'purchase') GROUP BY ALL)
+@query("mask_and_pad", f"""WITH l AS (SELECT user_id || ':' || (epoch_us(ts) // 86400000000) AS recording_id, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 3 END AS slot, max(value) AS value
+  FROM events WHERE event_type IN ('view', 'click', 'purchase') GROUP BY ALL)
 SELECT recording_id, {" || ';' || ".join(map(_slot_sql, range(5)))} AS "values", {" || ';' || ".join(map(_mask_sql, range(5)))} AS mask FROM l GROUP BY recording_id""")
 def mask_and_pad(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id % 6 = 0").select(F.col("user_id").alias("recording_id"), F.col("event_type").alias("sensor"), "value").join(F.broadcast(_layout(spark)), "sensor")
+    e = _days(spark, sf_dir).select(F.col("recording_day").alias("recording_id"), F.col("event_type").alias("sensor"), "value").join(F.broadcast(_layout(spark)), "sensor")
     own = embodiment.masked(e.groupBy("recording_id", "slot").agg(F.max("value").alias("value")), 5, ["recording_id"])
     text = lambda c, f: F.array_join(F.transform(c, lambda v: F.format_string(f, v)), ";")
     return own.select("recording_id", text("values", "%.2f").alias("values"), text("mask", "%.0f").alias("mask"))
@@ -340,10 +343,10 @@ def remote_nodes(spark, sf_dir):
     return embodiment.fully_connected(s.select("robot", "node"), s.select("node", "connected"), "robot", "node")
 
 
-@query("name_resolution", "SELECT c_name AS name, coalesce(min(c_custkey) FILTER (c_custkey % 2 = 0), min(c_custkey) FILTER (c_custkey % 3 = 0)) AS id FROM customer GROUP BY c_name")
+@query("name_resolution", "SELECT c_name AS name, coalesce(min(c_custkey) FILTER (c_acctbal > 5000), min(c_custkey) FILTER (c_acctbal > 0)) AS id FROM customer GROUP BY c_name")
 def name_resolution(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("id"))
-    return embodiment.resolve_names(c.select("name").distinct(), c.where("id % 2 = 0"), c.where("id % 3 = 0"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("id"), "c_acctbal")
+    return embodiment.resolve_names(c.select("name").distinct(), c.where("c_acctbal > 5000"), c.where("c_acctbal > 0"))
 
 
 # ---------------------------------------------------------------- importing

@@ -14,8 +14,8 @@ from kelpline.sources import traces
 from kelpline.sources.shared import shared_dir
 from kelpline.streaming import router, tables
 
-_CONTROL = """w0 AS (SELECT user_id % 10 AS source, event_id AS window_id, epoch_us(ts) AS start, lead(epoch_us(ts)) OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) AS following FROM events WHERE event_type = 'signup' AND event_id % 4 < 2),
-w AS (SELECT source, window_id, start, CASE WHEN window_id % 3 <> 0 AND (following IS NULL OR start + 7200000000 < following) THEN start + 7200000000 ELSE following END AS stop FROM w0)"""
+_CONTROL = """w0 AS (SELECT user_id % 10 AS source, event_id AS window_id, epoch_us(ts) AS start, value, lead(epoch_us(ts)) OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) AS following FROM events WHERE event_type = 'signup'),
+w AS (SELECT source, window_id, start, CASE WHEN value <= 50 AND (following IS NULL OR start + 7200000000 < following) THEN start + 7200000000 ELSE following END AS stop FROM w0)"""
 
 
 def _events(spark, sf_dir):
@@ -28,9 +28,9 @@ FROM events e LEFT JOIN w ON w.source = e.user_id % 10 AND epoch_us(e.ts) >= w.s
 def stream_route(spark, sf_dir):
     """Replays the events in three batches that overlap in time by less than the holdback."""
     hour = 3_600_000_000
-    e = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("source"), micros(F.col("ts")).alias("ts"), F.col("event_id").alias("item"), "event_type")
-    starts = e.where("event_type = 'signup' and item % 4 < 2").withColumn("following", F.lead("ts").over(Window.partitionBy("source").orderBy("ts", "item")))
-    stops = starts.where((F.col("item") % 3 != 0) & (F.col("following").isNull() | (F.col("ts") + 2 * hour < F.col("following"))))
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("source"), micros(F.col("ts")).alias("ts"), F.col("event_id").alias("item"), "event_type", "value")
+    starts = e.where("event_type = 'signup'").withColumn("following", F.lead("ts").over(Window.partitionBy("source").orderBy("ts", "item")))
+    stops = starts.where((F.col("value") <= 50) & (F.col("following").isNull() | (F.col("ts") + 2 * hour < F.col("following"))))
     low, high = e.agg(F.min("ts"), F.max("ts")).first()
     part = F.least(F.floor((F.col("ts") + F.pmod(F.xxhash64("item"), F.lit(hour)) - low) / max((high - low) // 3, 1)), F.lit(3)).cast("int")
     kind = lambda df, k: df.select("source", F.lit(k).alias("kind"), "ts", "item")
@@ -98,14 +98,17 @@ def pose_euler(spark, sf_dir):
 
 
 def _pixels(spark, sf_dir):
-    """Images of 16 x 12 pixels from the bytes of texts."""
-    text = F.rpad(F.translate(F.coalesce("text", F.lit("")), "\n", " "), 576, "~")
-    return table(spark, sf_dir, "documents").select("doc_id", F.substring(F.encode(text, "UTF-8"), 1, 576).alias("image"))
+    """Images of 16 pixels a row from the bytes of whole texts, padded to full rows."""
+    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    n = F.octet_length(text)
+    rows = F.greatest(F.ceil(n / 48), F.lit(1)).cast("int")
+    padded = F.concat(text, F.unhex(F.repeat(F.lit("00"), rows * 48 - n)))
+    return table(spark, sf_dir, "documents").select("doc_id", padded.alias("image"), rows.alias("rows"))
 
 
 @query("resize_pad")
 def resize_pad(spark, sf_dir):
-    return _pixels(spark, sf_dir).select("doc_id", F.sha2(images.resize_pad(8, 8)("image", F.lit(12), F.lit(16)), 256).alias("image_sha256"))
+    return _pixels(spark, sf_dir).select("doc_id", F.sha2(images.resize_pad(8, 8)("image", "rows", F.lit(16)), 256).alias("image_sha256"))
 
 
 @query("gaussian_noise")
@@ -137,9 +140,14 @@ def media_variant(spark, sf_dir):
     return traces.best_variant(f, ["recording"])
 
 
-@query("payload_slices", "SELECT doc_id, k AS frame_idx, CASE WHEN length(text) > 0 THEN substr(text, k * 7 + 1, 5) ELSE '' END AS payload FROM documents, range(3) r(k) WHERE regexp_full_match(substr(text, 1, 30), '[ -~]*') AND length(text) >= 30")
+@query("payload_slices", "SELECT doc_id, k AS frame_idx, substr(hex(encode(text)), k * 128 + 1, 128) AS payload FROM (SELECT doc_id, text, unnest(range((strlen(text) + 63) // 64)) AS k FROM documents WHERE text IS NOT NULL)")
 def payload_slices(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(F.substring("text", 1, 30).rlike(r"^[ -~]*\z") & (F.length("text") >= 30)).select("doc_id", "text")
-    index = d.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("position")).select("doc_id", F.lit(None).cast("int").alias("frame_idx"), "position", (F.col("position") * 7).alias("offset"), F.lit(5).alias("length"))
-    s = traces.payload_slices(index, d.select("doc_id", F.encode("text", "UTF-8").alias("blob")), "doc_id")
-    return s.select("doc_id", F.col("frame_idx").cast("long").alias("frame_idx"), F.decode("payload", "UTF-8").alias("payload"))
+    """Every text's bytes in slices of 64."""
+    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.encode("text", "UTF-8").alias("blob"))
+    at = F.sequence(F.lit(0), F.greatest(F.ceil(F.octet_length("blob") / 64).cast("int") - 1, F.lit(0)))
+    index = d.where(F.octet_length("blob") > 0).select("doc_id", F.explode(at).alias("position"))
+    index = index.select("doc_id", F.lit(None).cast("int").alias("frame_idx"), "position", (F.col("position") * 64).alias("offset"), F.lit(64).alias("length"))
+    s = traces.payload_slices(index, d, "doc_id")
+    return s.select("doc_id", F.col("frame_idx").cast("long").alias("frame_idx"), F.hex("payload").alias("payload"))
+
+
