@@ -90,3 +90,13 @@ def test_pack_with_ids_and_of_nothing(documents):
     out = packing.pack(documents([(1, "a b c", "s")]), tokenizer_path(), 2, with_ids=True).toPandas().sort_values("piece")
     assert [i for x in out.token_ids for i in x] == reference_ids(["a b c"])[0]
     assert packing.pack(documents([]), tokenizer_path()).count() == 0
+
+
+def test_a_hot_length_is_ranked_in_salted_groups(documents, monkeypatch):
+    monkeypatch.setattr(packing, "RANK_GROUP", 5)
+    rows = [(i, "same text" if i % 3 else f"text {i} " * (i % 7 + 1), "s") for i in range(200)] + [(1, "same text", "s")] * 40
+    out = packing.pack(documents(rows), tokenizer_path(), 16).toPandas()
+    assert out[out.piece == 0].shape[0] == len(rows)
+    for _, g in out.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]] and g.length.sum() <= 16
