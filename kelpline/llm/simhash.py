@@ -27,6 +27,8 @@ BITS = 64
 BUCKET = 2048
 #: Members of a component, and their shingles, that one task settles; larger ones lose their leaders' copies in rounds.
 MEMBERS, SHINGLES = 4096, 4_000_000
+#: Links for each file of a round's table.
+FILE_ROWS = 250_000
 #: What a shuffled row costs, in comparisons of two fingerprints.
 ROW_COST = 500
 _CHUNK = 1 << 15
@@ -264,7 +266,9 @@ def components(edges: DataFrame) -> DataFrame:
     sees one count a round.
     """
     both = materialise(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct())
-    own = materialise(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("parent")))
+    files = max(1, -(-both.count() // FILE_ROWS))  # a round of few links takes few tasks and files
+    own = both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("parent"))
+    own = materialise(own.coalesce(files))
     while True:
         jump = own.select(F.col("node").alias("parent"), F.col("parent").alias("over"))
         level = own.join(jump, "parent")
@@ -272,7 +276,7 @@ def components(edges: DataFrame) -> DataFrame:
         level = level.join(heard, "node").select("node", "parent", "over", F.least("over", "heard").alias("least"))
         hook = level.groupBy("parent").agg(F.min("least").alias("hooked")).select(F.col("parent").alias("node"), "hooked")
         level = level.join(hook, "node", "left").select("node", F.col("parent").alias("old"), F.least("least", F.coalesce("hooked", "least")).alias("parent"))
-        level = materialise(level)
+        level = materialise(level.coalesce(files))
         moved = level.where("old <> parent").limit(1).count()
         own = level.select("node", "parent")
         if not moved:
@@ -370,10 +374,12 @@ def item_links(items: DataFrame, distance: int, other_distance: int, parts: tupl
             ids, fps, others = (held.field(k).to_numpy() for k in range(3))
             out: list[tuple[np.ndarray, np.ndarray]] = []
             for at, end in zip(ends, ends[1:], strict=False):
-                label = joined(fps[at:end], others[at:end], distance, other_distance)
+                # by id: whatever the bucket, a group's links lead to its smallest member there
+                order = at + np.argsort(ids[at:end], kind="stable")
+                label = joined(fps[order], others[order], distance, other_distance)
                 moved = np.nonzero(label != np.arange(end - at))[0]
                 if len(moved):
-                    out.append((ids[at:end][moved], ids[at:end][label[moved]]))
+                    out.append((ids[order[moved]], ids[order[label[moved]]]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=schema)
 
