@@ -29,6 +29,10 @@ BUCKET = 2048
 MEMBERS, SHINGLES = 4096, 4_000_000
 #: Links for each file of a round's table.
 FILE_ROWS = 250_000
+#: Texts sampled for the order of shingles, and the common ones kept; both change the number of candidates only.
+SAMPLE, COMMON = 8192, 1 << 16
+#: Bits of a text's parities.
+PARITY = 1024
 #: What a shuffled row costs, in comparisons of two fingerprints.
 ROW_COST = 500
 _CHUNK = 1 << 15
@@ -333,13 +337,11 @@ def _sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _copy().alias("copy"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, copy string, fp long, other long")
 
 
-def joined(fps: np.ndarray, others: np.ndarray, distance: int, other_distance: int) -> np.ndarray:
-    """For each member of a bucket, the first member that it is connected to."""
-    a, b = fps.view(np.uint64), others.view(np.uint64)
-    near = (np.bitwise_count(a[:, None] ^ a) <= distance) & (np.bitwise_count(b[:, None] ^ b) <= other_distance)
-    label = np.arange(len(a))
+def joined(near: np.ndarray) -> np.ndarray:
+    """For each member of a bucket, the first member that it is connected to, from the matrix of near members."""
+    label = np.arange(len(near))
     while True:
-        new = np.where(near, label, len(a)).min(axis=1)
+        new = np.where(near, label, len(near)).min(axis=1)
         new = new[new]
         if (new == label).all():
             return label
@@ -350,12 +352,26 @@ def item_links(items: DataFrame, distance: int, other_distance: int, parts: tupl
     """Links (a, b) among (id, fp, other) rows that are near by both fingerprints.
 
     Candidates by the generalised pigeonhole on ``fp``; both distances are
-    checked. Buckets of over ``bucket`` rows are dealt into chunks, and every two
-    chunks meet in a task of their own.
+    checked.
     """
     masks = chosen_masks(items.select("fp"), distance, parts, bucket)
     keys = F.array(*[F.struct(F.lit(k).alias("tag"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("value")) for k, m in enumerate(masks)])
     keys = items.select(F.struct("id", "fp", "other").alias("item"), F.explode(keys).alias("key")).select("key.tag", "key.value", "item")
+
+    def near(held: pa.StructArray) -> np.ndarray:
+        a, b = (held.field(k).to_numpy().view(np.uint64) for k in (1, 2))
+        return (np.bitwise_count(a[:, None] ^ a) <= distance) & (np.bitwise_count(b[:, None] ^ b) <= other_distance)
+
+    return bucket_links(keys, near, bucket)
+
+
+def bucket_links(keys: DataFrame, near, bucket: int = BUCKET) -> DataFrame:
+    """Links (a, b) that connect what ``near`` connects within the buckets of (tag, value, item) rows.
+
+    ``near`` makes the matrix of near members from the items, whose first field
+    is the id. Buckets of over ``bucket`` rows are dealt into chunks, and every
+    two chunks meet in a task of their own.
+    """
     large = materialise(keys.groupBy("tag", "value").count().where(F.col("count") > bucket))
     some = not large.isEmpty()
     few = keys.join(large, ["tag", "value"], "left_anti") if some else keys
@@ -371,12 +387,12 @@ def item_links(items: DataFrame, distance: int, other_distance: int, parts: tupl
         for batch in batches:
             lists = batch.column(0)
             held, ends = lists.flatten(), np.cumsum([0, *(len(x) for x in lists)])
-            ids, fps, others = (held.field(k).to_numpy() for k in range(3))
+            ids = held.field(0).to_numpy()
             out: list[tuple[np.ndarray, np.ndarray]] = []
             for at, end in zip(ends, ends[1:], strict=False):
                 # by id: whatever the bucket, a group's links lead to its smallest member there
                 order = at + np.argsort(ids[at:end], kind="stable")
-                label = joined(fps[order], others[order], distance, other_distance)
+                label = joined(near(held.take(pa.array(order))))
                 moved = np.nonzero(label != np.arange(end - at))[0]
                 if len(moved):
                     out.append((ids[order[moved]], ids[order[label[moved]]]))
@@ -386,6 +402,83 @@ def item_links(items: DataFrame, distance: int, other_distance: int, parts: tupl
     return own.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
+def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that several texts of a sample hold, sorted, and their counts."""
+    schema = pa.schema([("shingle", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(t.as_py(), words))], schema=schema)
+
+    share = max(1, docs.count() // SAMPLE)
+    held = docs.where(F.pmod(F.xxhash64(_copy()), F.lit(share)) == 0).select(F.col("text").cast("string").alias("text")).distinct()
+    top = held.mapInArrow(run, "shingle long").groupBy("shingle").count().where("count > 1").orderBy(F.desc("count"), "shingle").limit(COMMON).collect()
+    top.sort()
+    return np.array([r[0] for r in top], dtype=np.int64), np.array([r[1] for r in top], dtype=np.int64)
+
+
+def prefix_of(shingles: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles in one order for all texts, of which two texts of the similarity share at least one.
+
+    Two such texts share at least ``similarity`` of either's shingles, so the
+    first that they share stands among the rest and one more. Any order of all
+    shingles does; rare ones first gives few candidates.
+    """
+    rank = np.zeros(len(shingles), dtype=np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        rank = np.where(common[at] == shingles, counts[at], 0)
+    least = int(np.ceil(similarity * len(shingles) - 1e-9))
+    return shingles[np.lexsort((shingles, rank))[: len(shingles) - least + 1]]
+
+
+def parities(shingles: np.ndarray) -> bytes:
+    """PARITY bits: for each, whether an odd number of shingles falls on it.
+
+    Two sets differ in at least as many shingles as these differ in bits.
+    """
+    odd = np.bincount(shingles.view(np.uint64) % np.uint64(PARITY), minlength=PARITY) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def prefix_links(docs: DataFrame, similarity: float, words: int, bucket: int = BUCKET) -> DataFrame:
+    """Links (a, b) that connect all texts whose shingles have the similarity, and few others.
+
+    Texts that share a shingle of their prefixes are candidates; pairs whose
+    numbers of shingles or parities rule the similarity out are dropped. Both
+    are bounds, so no pair of the similarity is missed. ``id`` of a text is the
+    hash of its ``copy``.
+    """
+    common, counts = common_shingles(docs, words)
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for batch in batches:
+            own = [shingle_hashes(t.as_py(), words) for t in batch.column(1)]
+            prefixes = [prefix_of(s, similarity, common, counts) for s in own]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array(map(parities, own), pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], schema=schema)
+
+    read = docs.select(F.xxhash64(_copy()).alias("id"), F.col("text").cast("string").alias("text"))
+    held = materialise(read.mapInArrow(run, "id long, n long, bits binary, prefix array<long>"))
+    shared = held.select("id", F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    # copies share most of their lists
+    shared = materialise(shared.where(F.size("ids") > 1).select("ids").distinct())
+    member = shared.select(F.xxhash64("ids").alias("value"), F.explode("ids").alias("id"))
+    keys = member.join(held.select("id", "n", "bits").distinct(), "id").select(F.lit(0).alias("tag"), "value", F.struct("id", "n", "bits").alias("item"))
+
+    def near(items: pa.StructArray) -> np.ndarray:
+        n = items.field(1).to_numpy()
+        bits = np.frombuffer(b"".join(items.field(2).to_pylist()), dtype=np.uint64).reshape(len(n), -1)
+        apart = np.zeros((len(n), len(n)), dtype=np.int16)
+        for column in bits.T:
+            apart += np.bitwise_count(column[:, None] ^ column)
+        fits = np.minimum(n[:, None], n) >= similarity * np.maximum(n[:, None], n) - 1e-9
+        return fits & (apart <= (n[:, None] + n) * ((1 - similarity) / (1 + similarity)) + 1e-9)
+
+    return bucket_links(materialise(keys), near, bucket)
+
+
 def _copy():
     return F.md5(F.coalesce(F.col("text"), F.lit("")))
 
@@ -425,7 +518,9 @@ def deduplicate(docs: DataFrame, similarity: float = 0.8, words: int = 5, distan
 
     Candidates: SimHash fingerprints of the documents' sets of words within
     ``distance`` bits, found by the generalised pigeonhole, whose fingerprints of
-    word triples are within ``other_distance`` bits, and their components.
+    word triples are within ``other_distance`` bits, and, as those miss copies
+    with contiguous edits, all pairs that share a shingle of their prefixes; and
+    their components. No pair of the similarity is missed.
     Within a component, the document with the smallest doc_id leads:
     those whose sets of ``words``-word shingles have a Jaccard similarity of
     at least ``similarity`` to it go, the rest choose their next leader, until
@@ -434,12 +529,13 @@ def deduplicate(docs: DataFrame, similarity: float = 0.8, words: int = 5, distan
     that stays. Of equal texts the smallest doc_id stays, once; null and empty
     texts are equal.
 
-    Scale: only texts that share a component with others are read again. Both
+    Scale: besides the fingerprints, a row for about a fifth of all shingles
+    moves. Only texts that share a component with others are read again. Both
     joins by component are skew joins at worst: one side has a row a component.
     """
     sketch = materialise(_sketches(docs))
     texts = materialise(sketch.groupBy("copy", "fp", "other").agg(F.min("doc_id").alias("first")).withColumn("id", F.xxhash64("copy")))
-    labels = components(item_links(texts, distance, other_distance, parts))
+    labels = components(item_links(texts, distance, other_distance, parts).unionByName(prefix_links(docs, similarity, words)).distinct())
     grouped = texts.join(labels.select(F.col("node").alias("id"), "parent"), "id").select("parent", "copy", "first")
     several = grouped.groupBy("parent").count().where("count > 1").select("parent")
     members = materialise(grouped.join(several, "parent").select("parent", "copy", "first"))

@@ -102,3 +102,37 @@ def test_deduplicate_keeps_one_of_each_group(documents, odd_rows):
     kept = sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in out.collect())
     # 1, 2 and 2 are equal; 3, 4, 5 and the null text have no words; 8 and 9 differ in case only
     assert kept == sorted([1, 3, 6, -1, 7, 8, 20, 22])
+
+
+def plain_similarity(a, b, words=5):
+    one, two = ({" ".join(t[i : i + words]) for i in range(max(1, len(t) - words + 1))} for t in (a, b))
+    return len(one & two) / len(one | two)
+
+
+def test_contiguous_edits_equal_brute_force(spark, documents, monkeypatch):
+    rng = np.random.default_rng(11)
+    monkeypatch.setattr(simhash, "SAMPLE", 40)  # the order of shingles comes from a part of the texts
+    fresh = lambda n: [f"w{k}" for k in rng.integers(0, 3000, n)]
+    line, own = fresh(12), []
+    for k in range(40):
+        base = fresh(int(rng.integers(6, 300))) + line * (k % 2)
+        n = len(base)
+        own += [base, base[: int(0.86 * n)], base + fresh(int(0.15 * n)), base[: int(0.93 * n)] + fresh(int(0.05 * n)), fresh(int(0.12 * n)) + base]
+    rng.shuffle(own := [tuple(t) for t in own])
+    stay = []
+    for k, t in enumerate(own):
+        if not any(plain_similarity(t, own[j]) >= 0.8 for j in stay):
+            stay.append(k)
+    got = sorted(r["doc_id"] for r in simhash.deduplicate(documents([(k, " ".join(t), "s") for k, t in enumerate(own)])).collect())
+    assert got == stay and len(stay) < 120
+
+
+@pytest.mark.parametrize("bucket", [2048, 4])
+def test_prefix_links_span_every_pair(spark, documents, bucket):
+    rng = np.random.default_rng(3)
+    base = [f"w{k}" for k in rng.integers(0, 900, 120)]
+    own = [base[a : 120 - b] for a in range(0, 40, 4) for b in range(0, 40, 4)]
+    docs = documents([(k, " ".join(t), "s") for k, t in enumerate(own)])
+    ids = {r[0]: r[1] for r in docs.selectExpr("doc_id", "xxhash64(md5(text))").collect()}
+    label = dict(simhash.components(simhash.prefix_links(docs, 0.8, 5, bucket)).collect())
+    assert all(label[ids[i]] == label[ids[j]] for i in ids for j in ids if i < j and plain_similarity(own[i], own[j]) >= 0.8)
