@@ -20,8 +20,17 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 #: Formats that name their issuer.
 KNOWN = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"
+#: A value given to a name ends where the next parameter of a query begins; a password in a URL ends at its host.
+_VALUE = r"(?:(?![?&][A-Za-z0-9_.%-]+=)[^\s'\"=:,;]){8,}"
+_LOGIN = r"(?<=://[^\s/:@]{0,64}:)[^\s/@'\"]{8,}(?=@)"
+_RUN = r"(?<![A-Za-z0-9])(?=[A-Za-z_+/-]*[0-9])(?=[0-9_+/-]*[A-Za-z])[A-Za-z0-9_+/-]{16,}"
+_NAME = rf"(?:(?!{KNOWN})[A-Za-z0-9_.$%\[\]-]){{0,64}}+['\"]?"
 #: A word that may hold a secret: a known format, a value given to a name, or a long mixed run.
-CANDIDATE = rf"{KNOWN}|[=:]['\"]?[^\s'\"=:,;]{{8,}}|(?<![A-Za-z0-9])(?=[A-Za-z_+/-]*[0-9])(?=[0-9_+/-]*[A-Za-z])[A-Za-z0-9_+/-]{{16,}}"
+CANDIDATE = rf"{KNOWN}|://[^\s/:@]{{0,64}}:[^\s/@'\"]{{8,}}@|[=:]['\"]?[^\s'\"=:,;]{{8,}}|{_RUN}"
+#: Parts of a word that are candidates, each with its own name and quotes.
+KNOWN_PART = rf"(?:{_NAME}[=:]['\"]?)?(?:{KNOWN})['\"]?"
+GIVEN_PART = rf"{_NAME}[=:]['\"]?(?:{_LOGIN}|{_VALUE})['\"]?"
+RUN_PART = rf"['\"]?{_RUN}={{0,2}}['\"]?"
 #: Words beside a secret, and beside what is mistaken for one.
 NAMING = r"(?i)pass(word|wd|phrase)?|secret|token|api[_-]?key|auth|bearer|credential|private|access[_-]?key|pwd"
 MISTAKEN = r"(?i)commit|sha\d*|md5|checksum|hash|digest|revision|version|build|uuid|guid|id|ref|etag|example|sample|dummy|test|image|base64|file|isbn|doi|order|invoice"
@@ -36,23 +45,44 @@ def _words(text: Column) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, word_index, word, value, before and after of each candidate, and its document's columns.
+    """doc_id, word_index, word, value, before and after of each candidate.
 
-    Texts are searched whole. ``value`` is the candidate without its name,
-    quotes and final punctuation; ``before`` and ``after`` are the two words
-    before and the word after, with the name that a value is given to.
+    Texts are searched whole, and a word that holds several candidates gives
+    each. ``word`` is the candidate's own part of the word, with the name that
+    it is given to; ``value`` is the candidate without name, quotes and final
+    punctuation; ``before`` and ``after`` are the two words before and the word
+    after.
     """
     held = docs.where(F.col("text").rlike(CANDIDATE)).withColumn("words", _words(F.col("text")))
     at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).rlike(CANDIDATE))
     word = lambda i: F.coalesce(F.get("words", i), F.lit(""))
-    found = F.transform(at, lambda i: F.struct(i.alias("word_index"), word(i).alias("word"), F.concat_ws(" ", word(i - 2), word(i - 1)).alias("before"), word(i + 1).alias("after")))
+    found = F.transform(at, lambda i: F.struct(i.alias("word_index"), word(i).alias("whole"), F.concat_ws(" ", word(i - 2), word(i - 1)).alias("before"), word(i + 1).alias("after")))
     spread = held.select("doc_id", F.explode(found).alias("c")).select("doc_id", "c.*")
-    return spread.withColumn("value", value_of(F.col("word")))
+    spread = spread.withColumn("part", F.explode(parts_of(F.col("whole"))))
+    return spread.select("doc_id", "word_index", F.col("part.word").alias("word"), _before(F.col("before"), F.col("part")).alias("before"), "after", "part.value")
+
+
+def parts_of(word: Column) -> Column:
+    """The candidates of a word: word (the part with its name), value, and lead (what stands before a bare run).
+
+    Known formats first, values given to names in what is left, then long runs
+    in what is left of that.
+    """
+    every = lambda text, pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    rest = F.regexp_replace(word, KNOWN, " ")
+    bare = F.regexp_replace(rest, rf"[=:]['\"]?(?:{_LOGIN}|{_VALUE})", " ")
+    part = lambda w, lead: F.struct(w.alias("word"), value_of(w).alias("value"), lead.alias("lead"))
+    named = F.transform(F.concat(every(word, KNOWN_PART), every(rest, GIVEN_PART)), lambda w: part(w, F.lit("")))
+    return F.concat(named, F.transform(every(bare, RUN_PART), lambda w: part(w, F.right(F.split_part(word, w, F.lit(1)), F.lit(16)))))
+
+
+def _before(before: Column, part: Column) -> Column:
+    return F.when(part["lead"] == "", before).otherwise(F.concat_ws(" ", before, part["lead"]))
 
 
 def value_of(word: Column) -> Column:
     known = F.regexp_extract(word, KNOWN, 0)
-    given = F.regexp_extract(word, r"[=:]['\"]?([^\s'\"=:,;]{8,})", 1)
+    given = F.regexp_extract(word, rf"[=:]['\"]?({_VALUE}|[^\s/@'\"]{{8,}}$)", 1)
     plain = F.regexp_replace(word, r"^[^A-Za-z0-9_+/-]+|[^A-Za-z0-9_+/=-]+$", "")
     picked = F.when(known != "", known).when(given != "", given).otherwise(plain)
     return F.regexp_replace(picked, r"[.,;:!?)\]}'\"]+$", "")
@@ -126,10 +156,14 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     ]
     deal = lambda kinds, k: F.element_at(F.array(*[kind[k] for kind in kinds]), (F.pmod(F.xxhash64(i, F.lit("kind")), F.lit(len(kinds))) + 1).cast("int"))
     label = (i % 2).cast("double")
-    own = spark.range(0, rows, 1, 2).select(
-        label.alias("label"), *(F.when(label == 1, deal(secrets, k)).otherwise(deal(others, k)).alias(c) for k, c in ((0, "word"), (1, "before"))), after.alias("after"),
+    dealt = spark.range(0, rows, 1, 2).select(
+        label.alias("label"), *(F.when(label == 1, deal(secrets, k)).otherwise(deal(others, k)).alias(c) for k, c in ((0, "word"), (1, "before"))), after.alias("after"), n("part", 0, 4).alias("pick"),
     )
-    return own.withColumn("value", value_of(F.col("word")))
+    # of a word with several candidates, one of them
+    whole = F.struct(F.col("word").alias("word"), value_of(F.col("word")).alias("value"), F.lit("").alias("lead"))
+    parts = dealt.withColumn("parts", parts_of(F.col("word")))
+    own = parts.withColumn("part", F.coalesce(F.get("parts", F.expr("pick % greatest(size(parts), 1)")), whole))
+    return own.select("label", F.col("part.word").alias("word"), _before(F.col("before"), F.col("part")).alias("before"), "after", "part.value")
 
 
 def _assembled(found: DataFrame) -> DataFrame:
