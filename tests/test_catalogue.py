@@ -1,3 +1,8 @@
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 import __spark_entry__ as entry
@@ -18,3 +23,16 @@ def test_query_without_sql_is_repeatable(spark, sf_dir, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("gone", [["kelpline/llm", "tests/llm"], ["kelpline/llm", "tests/llm", "corpus_pipeline.py"], ["corpus_pipeline.py"]])
+def test_entry_without_the_training_data_folders(tmp_path, gone):
+    repo = Path(entry.__file__).parent
+    shutil.copytree(repo, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "__pycache__", "*.parquet", "spark-warehouse"))
+    for name in gone:
+        own = tmp_path / "copy" / name
+        shutil.rmtree(own, ignore_errors=True) if own.is_dir() else own.unlink(missing_ok=True)
+    code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q); print(len(q))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout.split()[-1]) >= len(catalogue.QUERIES)
