@@ -2,34 +2,40 @@
 
 Vectors are rotated onto the principal axes of the corpus, so that a partial
 sum over the first axes carries most of a product and Cauchy-Schwarz bounds
-the rest tightly. Every query first gets a threshold from the longest vectors;
-candidates whose length cannot reach any threshold never leave their partition;
-the others are met in blocks of descending length.
+the rest tightly. Every query first gets a threshold from the longest vectors.
+The corpus is written once as shards of descending length; each block of
+queries then reads the shards in that order, carries its thresholds along and
+stops where no vector that is left can be long enough.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kelpline.llm.common import materialise
+from kelpline.llm.common import materialise, shared_dir
 
 #: Longest vectors that set the first thresholds; rows of a block; leading axes of a partial sum.
 SEEDS, BLOCK, AXES = 2048, 1024, 16
-#: Candidates and queries that one task holds.
-SHARD, QUERIES = 65_536, 16_384
+#: Bytes of the vectors of a shard, and of a block of queries, that a task holds.
+SHARD_BYTES, QUERY_BYTES = 32 << 20, 32 << 20
 _EXACT = float(1 << 53)
 
 
 def prepared(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id, v (array of floor(scale * x), as doubles) and norm of usable vectors.
+    """row, vec_id, v (array of floor(scale * x), as doubles) and norm of usable vectors.
 
     Unusable: a null vec_id or vector, or null or non-finite components. Rows
-    that share a vec_id count as one, with the greatest of their vectors.
+    that share a vec_id stay apart: ``row`` tells them from each other once the
+    result is written.
     """
     x = F.transform("embedding", lambda e: e.cast("double"))
     usable = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()
@@ -37,12 +43,17 @@ def prepared(vectors: DataFrame, scale: int = 256) -> DataFrame:
     good = vectors.where(usable).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).where(F.coalesce(finite, F.lit(False)))
     # floor() of a double is a long in Spark and saturates; rint keeps large values as doubles
     whole = F.transform("x", lambda e: F.when(F.abs(e) * scale < _EXACT, F.floor(e * scale).cast("double")).otherwise(e * scale))
-    one = good.select("vec_id", whole.alias("v")).groupBy("vec_id").agg(F.max("v").alias("v"))
+    one = good.select(F.monotonically_increasing_id().alias("row"), "vec_id", whole.alias("v"))
     return one.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e)))
 
 
 def _matrix(column, width: int) -> np.ndarray:
-    lists = column.to_pylist() if isinstance(column, (pa.Array, pa.ChunkedArray)) else list(column)
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if isinstance(column, pa.Array):
+        flat = column.flatten().to_numpy(zero_copy_only=False)
+        if len(flat) == len(column) * width and (len(column) == 0 or (np.diff(column.offsets.to_numpy()) == width).all()):
+            return flat.reshape(len(column), width)
+    lists = column.to_pylist() if isinstance(column, pa.Array) else list(column)
     out = np.zeros((len(lists), width))
     for i, v in enumerate(lists):
         out[i, : len(v)] = v
@@ -82,25 +93,25 @@ def products(queries: np.ndarray, block: np.ndarray) -> np.ndarray:
 
 
 class Best:
-    """The k best (score, vec_id) of each query; ties go to the smaller id."""
+    """The k best (score, vec_id) of each query row; ties go to the smaller id."""
 
-    def __init__(self, ids: np.ndarray, k: int, least: np.ndarray):
-        self.ids, self.k, self.least = ids, k, least.astype(float)
-        self.scores: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(ids)
-        self.found: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(ids)
+    def __init__(self, rows: np.ndarray, k: int, least: np.ndarray):
+        self.rows, self.k, self.least = rows, k, least.astype(float)
+        self.scores: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(rows)
+        self.found: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(rows)
 
-    def add(self, q: int, scores: np.ndarray, found: np.ndarray) -> None:
-        fit = (scores >= self.least[q]) & (found != self.ids[q])
+    def add(self, q: int, scores: np.ndarray, rows: np.ndarray, ids: np.ndarray) -> None:
+        fit = (scores >= self.least[q]) & (rows != self.rows[q])
         if not fit.any():
             return
-        s, f = np.concatenate([self.scores[q], scores[fit]]), np.concatenate([self.found[q], found[fit]])
+        s, f = np.concatenate([self.scores[q], scores[fit]]), np.concatenate([self.found[q], ids[fit]])
         keep = np.lexsort((f, -s))[: self.k]
         self.scores[q], self.found[q] = s[keep], f[keep]
         if len(keep) == self.k:
             self.least[q] = max(self.least[q], float(s[keep[-1]]))
 
 
-def search(queries: np.ndarray, best: Best, ids: np.ndarray, vectors: np.ndarray, axes: np.ndarray) -> None:
+def search(queries: np.ndarray, best: Best, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, axes: np.ndarray) -> None:
     """Meet the candidates in blocks of descending length and keep the best.
 
     A block whose longest vector cannot reach a query's threshold ends the
@@ -108,7 +119,7 @@ def search(queries: np.ndarray, best: Best, ids: np.ndarray, vectors: np.ndarray
     plus the product of what remains of both lengths bounds a score from above.
     """
     order = np.argsort(-np.linalg.norm(vectors, axis=1), kind="stable")
-    ids, vectors = ids[order], vectors[order]
+    rows, ids, vectors = rows[order], ids[order], vectors[order]
     norms, q_norms = np.linalg.norm(vectors, axis=1), np.linalg.norm(queries, axis=1)
     lead = axes[:, :AXES]
     q_lead = queries @ lead
@@ -124,80 +135,94 @@ def search(queries: np.ndarray, best: Best, ids: np.ndarray, vectors: np.ndarray
         bound = q_lead[alive] @ c_lead.T + np.outer(q_rest[alive], c_rest)
         bound += 1e-7 * np.outer(q_norms[alive], own_norms) + 1e-6
         near = bound >= best.least[alive][:, None]
-        hit = np.nonzero(near.any(axis=0))[0]
+        hit, gaining = np.nonzero(near.any(axis=0))[0], np.nonzero(near.any(axis=1))[0]
         if not len(hit):
             continue
-        scores = products(queries[alive], own[hit])
-        for row, q in enumerate(alive):
-            best.add(q, scores[row], ids[at + hit])
+        scores = products(queries[alive[gaining]], own[hit])
+        for row, q in enumerate(alive[gaining]):
+            best.add(q, scores[row], rows[at + hit], ids[at + hit])
+
+
+def written_by_length(own: DataFrame, shards: int) -> tuple[str, list[tuple[str, float]]]:
+    """Shards of descending length in the shared folder: their folder, and each one's file and greatest length.
+
+    Vectors of one length are dealt over shards by row.
+    """
+    path = f"{shared_dir(own.sparkSession)}/kelpline-{uuid.uuid4().hex}"
+    falling = [F.desc("norm"), "row"]
+    own.repartitionByRange(shards, *falling).sortWithinPartitions(*falling).write.parquet(path)
+    name = F.col("_metadata.file_path")
+    files = own.sparkSession.read.schema(own.schema).parquet(path).groupBy(name.alias("file")).agg(F.max("norm").alias("norm")).collect()
+    return path, sorted(((f, float(n)) for f, n in files), key=lambda x: (-x[1], x[0]))
 
 
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id and score of each query's ``k`` highest scores.
 
-    Queries: vec_ids divisible by ``every``; candidates: all others' rows.
-    Score: inner product of floor(scale * x), shorter vectors padded by zeros;
-    ties go to the smaller vec_id. Rows that share a vec_id count as one. An
-    empty table gives an empty result; other columns are ignored.
-
-    Scale: a block nested loop of candidate shards against query shards, after
-    candidates that are too short for every query of a shard have been pruned.
-    A task holds SHARD candidates and QUERIES queries. The driver holds SEEDS
-    vectors, the axes and one line for each QUERIES queries.
+    Queries: rows whose vec_id is divisible by ``every``; candidates: all rows
+    but the query's own. Score: inner product of floor(scale * x), shorter
+    vectors padded by zeros; ties go to the smaller vec_id. Rows that share a
+    vec_id are candidates (and queries, each with ranks of its own) apart. An
+    empty table gives an empty result, vectors without components score 0;
+    other columns are ignored.
+
+    Scale: the corpus is shuffled once, by length, however many queries there
+    are. A task holds a block of queries and one shard at a time, both bounded
+    in bytes, and reads shards from the shared folder (one that pyarrow can
+    open) only while one of its queries can still gain. Where the blocks are
+    too few for the cluster, the shards are dealt to several tasks a block. The
+    driver holds SEEDS vectors, the axes and a line for each shard.
     """
     own = materialise(prepared(vectors, scale))
+    spark = own.sparkSession
     n, width, asked = own.agg(F.count(F.lit(1)), F.max(F.size("v")), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
-    ddl = "query_id long, vec_id long, score long"
-    if not n or not asked or not width:
-        pairs = own.sparkSession.createDataFrame([], ddl)
-        if n and asked:  # vectors without components: every score is 0
-            raise ValueError("vectors have no components")
-        return pairs.withColumn("rank", F.lit(1)).select("query_id", "rank", "vec_id", "score")
+    ddl = "query_row long, query_id long, vec_id long, score long"
+    if not n or not asked:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    width = max(width, 1)
     axes = rotation(own, width)
     seeds = own.orderBy(F.desc("norm"), "vec_id").limit(SEEDS).toArrow()
-    seed_ids, seed_vectors = seeds.column("vec_id").to_numpy(), _matrix(seeds.column("v"), width)
-    shards, groups = -(-n // SHARD), -(-asked // QUERIES)
+    seed_rows, seed_ids, seed_vectors = seeds.column("row").to_numpy(), seeds.column("vec_id").to_numpy(), _matrix(seeds.column("v"), width)
+    path, files = written_by_length(own, max(1, -(-n * width * 8 // SHARD_BYTES)))
+    groups = max(1, -(-asked * width * 8 // QUERY_BYTES))
+    stripes = min(len(files), max(1, -(-2 * spark.sparkContext.defaultParallelism // groups)))
 
     def first_thresholds(batches):
         for batch in batches:
-            ids, q = batch.column(0).to_numpy(), _matrix(batch.column(1), width)
-            best = Best(ids, k, np.full(len(ids), -np.inf))
-            search(q, best, seed_ids, seed_vectors, axes)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best.least)], names=["vec_id", "v", "norm", "least"])
-
-    queries = own.where(F.col("vec_id") % every == 0).mapInArrow(first_thresholds, "vec_id long, v array<double>, norm double, least double")
-    queries = materialise(queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")))
-    # the length under which no vector can reach any threshold of a block
-    need = F.when((F.col("least") <= 0) | (F.col("norm") == 0), F.lit(0.0)).otherwise(F.col("least") / F.col("norm"))
-    needs = [(int(b), float(x)) for b, x in queries.groupBy("block").agg(F.min(need)).collect()]
-    met = F.array(*[F.struct(F.lit(b).alias("block"), F.lit(x * (1 - 1e-9) - 1e-6).alias("need")) for b, x in needs])
-    shard = F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(shards)).cast("int").alias("shard")
-    left = own.select("vec_id", "v", "norm", shard, F.explode(met).alias("m")).where(F.col("norm") >= F.col("m.need")).select("shard", F.col("m.block").alias("block"), "vec_id", "v")
-    every_shard = F.explode(F.sequence(F.lit(0), F.lit(int(shards) - 1))).alias("shard")
-    right = queries.select("block", "vec_id", "v", "least", every_shard)
-
-    def meet(key, candidates: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        ids = asked["vec_id"].to_numpy()
-        best = Best(ids, k, asked["least"].to_numpy())
-        if len(candidates) and len(ids):
-            search(_matrix(asked["v"], width), best, candidates["vec_id"].to_numpy(), _matrix(candidates["v"], width), axes)
+            rows, q = batch.column(0).to_numpy(), _matrix(batch.column(2), width)
+            best = Best(rows, k, np.full(len(rows), -np.inf))
+            search(q, best, seed_rows, seed_ids, seed_vectors, axes)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best.least)], names=["row", "vec_id", "v", "least"])
+
+    queries = own.where(F.col("vec_id") % every == 0).select("row", "vec_id", "v").mapInArrow(first_thresholds, "row long, vec_id long, v array<double>, least double")
+    stripe = F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe")
+    dealt = queries.select("*", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int").alias("block"), stripe)
+
+    def meet(key: tuple, asked: pd.DataFrame) -> pd.DataFrame:
+        rows, q = asked["row"].to_numpy(), _matrix(asked["v"], width)
+        best, longest = Best(rows, k, asked["least"].to_numpy()), np.linalg.norm(q, axis=1)
+        store, _ = pafs.FileSystem.from_uri(path)
+        for file, norm in files[key[1] :: stripes]:
+            if not (longest * norm * (1 + 1e-9) + 1e-6 >= best.least).any():
+                break
+            shard = pq.read_table(pafs.FileSystem.from_uri(file)[1], filesystem=store, columns=["row", "vec_id", "v"])
+            search(q, best, shard.column("row").to_numpy(), shard.column("vec_id").to_numpy(), _matrix(shard.column("v"), width), axes)
         sizes = [len(x) for x in best.found]
-        join = lambda xs: np.concatenate(xs) if xs else np.zeros(0, dtype=np.int64)
-        return pd.DataFrame({"query_id": np.repeat(ids, sizes), "vec_id": join(best.found), "score": join(best.scores)})
+        return pd.DataFrame({"query_row": np.repeat(rows, sizes), "query_id": np.repeat(asked["vec_id"].to_numpy(), sizes), "vec_id": np.concatenate(best.found), "score": np.concatenate(best.scores)})
 
-    pairs = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(meet, ddl)
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    pairs = dealt.groupBy("block", "stripe").applyInPandas(meet, ddl)
+    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 SQL = """
 WITH own AS (
-  SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
+  SELECT row_number() OVER () AS at, vec_id, [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product([x::DOUBLE for x in q.v], [x::DOUBLE for x in c.v])::BIGINT AS score
-  FROM own q JOIN own c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
-), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+  SELECT q.at AS query_at, q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product([x::DOUBLE for x in q.v], [x::DOUBLE for x in c.v])::BIGINT AS score
+  FROM own q JOIN own c ON c.at <> q.at WHERE q.vec_id % 50 = 0
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_at ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
