@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 from bisect import bisect_right
 
@@ -24,6 +25,8 @@ from kelpline.llm.common import materialise
 #: The split of byte-level BPE: contractions, words, numbers, symbols, spaces.
 BYTE_LEVEL_SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PROBE = "It's 2024: naïve  façade—\n\n\tтест 数 €9,99 …  end \r\n x"
+#: White space that is left to tokenizers: tiktoken's matcher recurses over such runs and overflows its stack.
+LONG_SPACE = re.compile(r"\s{4096}")
 
 #: Rows of one size that one window group ranks.
 RANK_GROUP = 50_000
@@ -41,8 +44,9 @@ def encoder(path: str):
     """A function from text to token ids for the tokenizer file at ``path``.
 
     A byte-level BPE whose ids are its merge ranks is run by tiktoken, which
-    gives the same ids several times faster; anything else, and any text that
-    holds a special token, goes through tokenizers itself.
+    gives the same ids several times faster (a test compares them over every
+    code point); anything else, and any text that holds a special token or a
+    very long run of white space, goes through tokenizers itself.
     """
     from tokenizers import Tokenizer
 
@@ -68,7 +72,7 @@ def encoder(path: str):
         return plainly
 
     def encode(text: str) -> list[int]:
-        if any(s in text for s in specials):
+        if any(s in text for s in specials) or LONG_SPACE.search(text):
             return plainly(text)
         return fast.encode_ordinary(text)
 
@@ -82,26 +86,28 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
-    """Tokenised pieces: doc_id, piece, start, length, ids_crc32[, token_ids].
+    """Tokenised pieces: doc_id, piece, start, length, ids_crc32, turn[, token_ids].
 
     A null or empty text has the end id alone. A null doc_id stays null.
+    ``turn`` counts the pieces of a task: it deals out what is alike in all else.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("token_ids", pa.list_(pa.int32()))] * with_ids)
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("turn", pa.int64())] + [("token_ids", pa.list_(pa.int32()))] * with_ids)
 
     def run(batches):
-        encode = encoder(tokenizer_path)
+        encode, turn = encoder(tokenizer_path), 0
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.array([*encode(text.as_py() or ""), end_id], dtype="<u4")
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
                     own = ids[start : start + length]
-                    row = (doc_id, k, start, length, zlib.crc32(own.tobytes()))
+                    row = (doc_id, k, start, length, zlib.crc32(own.tobytes()), turn)
+                    turn += 1
                     rows.append((*row, own.astype(np.int32)) if with_ids else row)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", token_ids array<int>" * with_ids
+    ddl = "doc_id long, piece int, start long, length long, ids_crc32 long, turn long" + ", token_ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ddl)
 
 
@@ -158,15 +164,28 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], i
     return [(items, times) for same in bins.values() for items, times in same]
 
 
-def fillings(avail: list[int], counts: np.ndarray, room: int, most: int = 6, visits: int = 3000) -> list[tuple[int, ...]]:
+def fillings(avail: list[int], counts: np.ndarray, room: int, most: int = 6, visits: int = 3000, deep: int = 8) -> list[tuple[int, ...]]:
     """Undominated fillings of ``room``, fullest first, fewest items on ties.
 
     ``avail`` ascends. A filling is dominated where an unused item could be
     added, or could replace some of its items and leave it at least as full.
+    The search is bounded: ``visits`` steps, ``most`` fillings kept, the largest
+    400 sizes for the first item and 24 for each later one; past ``deep`` items
+    a filling is completed with the largest that fit.
     """
     found: list[tuple[int, tuple[int, ...]]] = []
     seen, best = 0, -1
 
+    def finished(chosen: tuple[int, ...], left: int, at: int) -> tuple[tuple[int, ...], int]:
+        """The filling with the largest items that still fit, from ``avail[at]`` down."""
+        at = min(at, bisect_right(avail, left) - 1)
+        while at >= 0 and left >= avail[0]:
+            s = avail[at]
+            k = min(left // s, int(counts[s]) - chosen.count(s))
+            chosen, left = chosen + (s,) * k, left - s * k
+            at = min(at, bisect_right(avail, left)) - 1
+        return chosen, left
+
     def descend(chosen: tuple[int, ...], left: int, top: int) -> None:
         nonlocal seen, best
         at = bisect_right(avail, min(left, top)) - 1
@@ -179,9 +198,12 @@ def fillings(avail: list[int], counts: np.ndarray, room: int, most: int = 6, vis
             seen, tried = seen + 1, tried + 1
             rest = left - s
             grown = (*chosen, s)
-            if rest and avail[0] <= rest and len(grown) < 8:
+            if rest and avail[0] <= rest and len(grown) < deep:
                 descend(grown, rest, s)
-            elif rest <= room - best + 8:
+                continue
+            if rest and avail[0] <= rest:
+                grown, rest = finished(grown, rest, at + 1)
+            if rest <= room - best + 8:
                 found.append((rest, grown))
                 best = max(best, room - rest)
             if best == room and len(found) >= most:
@@ -190,12 +212,8 @@ def fillings(avail: list[int], counts: np.ndarray, room: int, most: int = 6, vis
     if not avail or avail[0] > room:
         return [()]
     descend((), room, room)
-    if not found:  # only many small items are left: fill greedily
-        chosen, left = [], room
-        for s in reversed(avail):
-            k = min(left // s, int(counts[s]))
-            chosen, left = chosen + [s] * k, left - s * k
-        return [tuple(chosen)]
+    if not found:  # the steps ran out before the first filling
+        return [finished((), room, len(avail) - 1)[0]]
     found.sort(key=lambda x: (x[0], len(x[1])))
     kept = []
     for slack, own in found:
@@ -300,8 +318,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     the shared folder. The driver gets the histogram of lengths (at most
     ``capacity`` rows) and returns a plan of at most ``capacity`` bin patterns,
     each of under 64 sizes. Ranks within a size come from windows over salted
-    groups of about RANK_GROUP rows, so a size that holds a third of all
-    pieces is spread over many tasks.
+    groups of about RANK_GROUP rows (rows alike in every column included), so a
+    size that holds a third of all pieces is spread over many tasks.
     """
     cut_up = materialise(pieces(docs, tokenizer_path, capacity, end_id, with_ids))
     histogram = {int(r[0]): int(r[1]) for r in cut_up.groupBy("length").count().collect()}
@@ -314,12 +332,11 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
 
 def _place(cut_up: DataFrame, counts: np.ndarray, plan: dict[str, np.ndarray]) -> DataFrame:
     salts = [int(max(1, -(-n // RANK_GROUP))) for n in counts]
-    key = F.xxhash64("doc_id", "piece", "start", "ids_crc32")
-    salted = cut_up.withColumn("salt", F.pmod(key, F.element_at(F.array(*map(F.lit, salts)), F.col("length").cast("int") + 1)).cast("int"))
+    salted = cut_up.withColumn("salt", F.pmod(F.col("turn"), F.element_at(F.array(*map(F.lit, salts)), F.col("length").cast("int") + 1)).cast("int"))
     shares = salted.groupBy("length", "salt").count()
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     shares = shares.select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    inside = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
+    inside = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32", "turn")
     ranked = salted.withColumn("rank", F.row_number().over(inside) - 1).join(shares, ["length", "salt"])
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("first")).drop("salt", "first")
     span = np.int64(1) << 40
