@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from kelpline.llm import mixing, packing, quality, secrets, simhash
 from kelpline.llm.common import materialise, table
@@ -11,14 +10,8 @@ from kelpline.llm.queries import tokenizer_path
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go.
-
-    Equal texts get equal scores, so scores join by doc_id and a null doc_id
-    is scored like the others; of rows that share a doc_id, the best counts.
-    """
-    scores = quality.classify(docs, table(spark, sf_dir, "labels"))
-    rejected = scores.groupBy("doc_id").agg(F.max("predicted").alias("predicted")).where("predicted = 0").select(F.col("doc_id").alias("rejected"))
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(F.col("rejected")), "left_anti").select(*docs.columns)
+    """Documents that the quality classifier rejects go; each row is judged by its own text."""
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +21,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Confirmed secrets are replaced; every document stays."""
-    return secrets.redact(docs)
+    return secrets.redact(docs, secrets.forest(spark, tokenizer_path()))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,9 +11,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kelpline.llm.common import materialise
 
@@ -61,18 +63,21 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out and the statistics of each whole text (null: empty)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("stats", pa.list_(pa.float32()))])
+def with_statistics(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id, held_out and the statistics of each whole text (null: empty), and with ``whole`` the row itself."""
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.struct(*(docs.columns if whole else ["text"])).alias("row"))
+    at = chosen.schema["row"].dataType.fieldNames().index("text")
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("stats", T.ArrayType(T.FloatType()))])
+    schema = schema.add(chosen.schema["row"]) if whole else schema
 
     def run(batches):
         for batch in batches:
-            stats = [np.asarray(statistics(t.as_py()), dtype=np.float32) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(stats, pa.list_(pa.float32()))], schema=schema)
+            stats = [np.asarray(statistics(t.as_py()), dtype=np.float32) for t in batch.column(2).field(at)]
+            columns = [batch.column(0), batch.column(1), pa.array(stats, pa.list_(pa.float32()))] + [batch.column(2)] * whole
+            yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
-    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, held_out boolean, stats array<float>")
+    return chosen.mapInArrow(run, schema)
 
 
 class Model:
@@ -198,6 +203,20 @@ def fit(labelled: DataFrame, size: int = 160, widths: tuple[float, ...] = (1.0,
     return Model(mean, scale, omega, phase, weights, centre, isotonic(bins[0][used], bins[1][used]))
 
 
+def fitted(stats: DataFrame, labels: DataFrame) -> Model | float:
+    """The model of the labelled rows of a written table of statistics that are not held out."""
+    mean = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("label"))
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("fold")
+    labelled = stats.select("doc_id", "held_out", "stats").where("not held_out").join(mean, "doc_id").select(fold, "stats", "label").persist()
+    model = fit(labelled)
+    labelled.unpersist()
+    return model
+
+
+def scores_of(model: Model | float, stats: np.ndarray) -> np.ndarray:
+    return np.full(len(stats), model) if isinstance(model, float) else model.scores(stats)
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of ``docs``.
 
@@ -211,16 +230,33 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
     the shared folder and serve both the fit and the scores.
     """
     stats = materialise(with_statistics(docs))
-    mean = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("label"))
-    fold = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("fold")
-    labelled = stats.where("not held_out").join(mean, "doc_id").select(fold, "stats", "label").persist()
-    model = fit(labelled)
-    labelled.unpersist()
+    model = fitted(stats, labels)
 
     def run(batches):
         for batch in batches:
             x = _stats_of(batch)
-            score = np.full(len(x), model) if isinstance(model, float) else model.scores(x)
+            score = scores_of(model, x)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return stats.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose score reaches the threshold, with all their columns.
+
+    Each row is judged by its own text, so rows that share a doc_id, or have
+    none, are judged apart. Learns as `classify` does. An empty table gives an
+    empty result; columns of any names are kept.
+
+    Scale: the rows are written once with their statistics, so nothing but the
+    labelled rows' statistics is shuffled.
+    """
+    stats = materialise(with_statistics(docs, whole=True))
+    model = fitted(stats, labels)
+
+    @F.pandas_udf("double")
+    def score(own: pd.Series) -> pd.Series:
+        x = np.stack(own.to_list()).astype(np.float64) if len(own) else np.zeros((0, len(STATISTICS)))
+        return pd.Series(scores_of(model, x))
+
+    return stats.where(score("stats") >= threshold).select("row.*")

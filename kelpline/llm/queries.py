@@ -46,7 +46,7 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(table(spark, sf_dir, "documents"))
+    found = secrets.scan(table(spark, sf_dir, "documents"), secrets.forest(spark, tokenizer_path()))
     return found.select("doc_id", "word_index", "kind", F.length("value").cast("long").alias("length"), F.sha2("value", 256).alias("value_sha256"), "probability")
 
 

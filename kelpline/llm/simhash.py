@@ -10,6 +10,7 @@ estimated over all fingerprints.
 from __future__ import annotations
 
 import functools
+import uuid
 from collections import Counter
 from itertools import combinations
 from math import comb
@@ -20,13 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.llm.common import materialise
+from kelpline.llm.common import Workspace, materialise, shared_dir
 
 BITS = 64
 #: Members of a bucket that one task compares; larger buckets go by shared neighbours.
 BUCKET = 2048
-#: Members of a component, and their shingles, that one task settles; larger ones lose their leaders' copies in rounds.
-MEMBERS, SHINGLES = 4096, 4_000_000
+#: Members of a component, and their shingles, that one task settles; larger ones are dealt out and lose copies in rounds.
+MEMBERS, SHINGLES = 512, 500_000
+#: A round goes on where it leaves at most this share of what it was given.
+SHRUNK = 0.75
+#: Bytes of text in a bucket of the table of distinct texts.
+TEXT_BYTES = 16 << 20
 #: Links for each file of a round's table.
 FILE_ROWS = 250_000
 #: Texts sampled for the order of shingles, and the common ones kept; both change the number of candidates only.
@@ -38,19 +43,14 @@ ROW_COST = 500
 _CHUNK = 1 << 15
 
 
-def fingerprint_of(text: str | None, words: int = 3, seed: int = 42, distinct: bool = False) -> int:
-    """The fingerprint of one text (0 where it has no word).
-
-    ``distinct``: of its set of words, in place of its sequence of shingles.
-    """
+def fingerprint_of(text: str | None, words: int = 3, seed: int = 42) -> int:
+    """The fingerprint of one text (0 where it has no word)."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
     own = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not own:
         return 0
-    if distinct:
-        own, words = sorted(set(own)), 1
     if len(own) < words:
         return digest(b" ".join(own), seed)
     ends = np.cumsum([len(w) + 1 for w in own])
@@ -262,17 +262,17 @@ def links(fps: DataFrame, distance: int = 2, parts: tuple[int, ...] = (3,), buck
     return _verified(own, distance).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, keep=materialise) -> DataFrame:
     """(node, parent): the smallest node of each node's component.
 
     Hooking and pointer jumping; rounds grow with the logarithm of the longest
     path. Every round is written to the shared folder and reread; the driver
-    sees one count a round.
+    sees one count a round. ``keep`` writes a table and reads it back.
     """
-    both = materialise(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct())
+    both = keep(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct())
     files = max(1, -(-both.count() // FILE_ROWS))  # a round of few links takes few tasks and files
     own = both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("parent"))
-    own = materialise(own.coalesce(files))
+    own = keep(own.coalesce(files))
     while True:
         jump = own.select(F.col("node").alias("parent"), F.col("parent").alias("over"))
         level = own.join(jump, "parent")
@@ -280,7 +280,7 @@ def components(edges: DataFrame) -> DataFrame:
         level = level.join(heard, "node").select("node", "parent", "over", F.least("over", "heard").alias("least"))
         hook = level.groupBy("parent").agg(F.min("least").alias("hooked")).select(F.col("parent").alias("node"), "hooked")
         level = level.join(hook, "node", "left").select("node", F.col("parent").alias("old"), F.least("least", F.coalesce("hooked", "least")).alias("parent"))
-        level = materialise(level.coalesce(files))
+        level = keep(level.coalesce(files))
         moved = level.where("old <> parent").limit(1).count()
         own = level.select("node", "parent")
         if not moved:
@@ -314,74 +314,167 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, parts: t
 # ------------------------------------------------------------ deduplication
 
 
-def shingle_hashes(text: str | None, words: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of a text's word shingles (fewer words: of all of them)."""
-    import xxhash
+#: Odd multipliers of the words of a shingle, and of the last mixing of its hash.
+_PLACE, _MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 
-    own = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    joined, ends = b" ".join(own), np.cumsum([0, *(len(w) + 1 for w in own)]).tolist()
-    n = max(len(own) - words + 1, 1)
-    return np.unique(np.array([xxhash.xxh64_intdigest(joined[ends[i] : ends[min(i + words, len(own))] - 1], 0) for i in range(n)] if own else [0], dtype=np.uint64).view(np.int64))
 
+def word_hashes(text: str | None) -> np.ndarray:
+    """Hashes of a text's words in order, A-Z in lower case."""
+    import xxhash
 
-def _sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, copy (hash of the text), fp (of its set of words) and other (of its word triples)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("copy", pa.string()), ("fp", pa.int64()), ("other", pa.int64())])
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(w, 42) for w in (text or "").encode("utf-8", "surrogatepass").lower().split()], dtype=np.uint64)
+
+
+def shingle_hashes(text: str | np.ndarray | None, words: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles (fewer words: of all of them; none: 0)."""
+    own = text if isinstance(text, np.ndarray) else word_hashes(text)
+    if not len(own):
+        return np.zeros(1, dtype=np.int64)
+    width = min(words, len(own))
+    h = np.full(len(own) - width + 1, width, dtype=np.uint64)
+    for k in range(width):
+        h = h * np.uint64(_PLACE) + own[k : len(own) - width + 1 + k]
+        h ^= h >> np.uint64(29)
+    h = h * np.uint64(_MIX)
+    return np.unique((h ^ (h >> np.uint64(32))).view(np.int64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of a set of hashes: the bits that over half of them have."""
+    ones = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        ones += np.unpackbits(hashes[at : at + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """key, first and row: of each text the row with the smallest doc_id, with all its columns.
+
+    A table in the shared folder, in buckets by ``key`` (a hash of the text with
+    the doc_id): later joins by key don't move the texts again. Rows of one
+    text differ in their keys, so a text that many documents share is spread;
+    all but one of them go in the join with the smallest doc_ids.
+    """
+    spark = docs.sparkSession
+    copy = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    own = docs.select(copy.alias("copy"), F.col("doc_id").cast("long").alias("first"), F.struct(*docs.columns).alias("row"))
+    key = F.concat_ws(":", "copy", F.coalesce(F.col("first").cast("string"), F.lit("-")))
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    # as many as a join of both sides deals out at least, so that each task writes one bucket; 100,000 is Spark's limit
+    buckets = int(min(max(-(-size // TEXT_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions"))), 100_000))
+    least = own.groupBy("copy").agg(F.min("first").alias("first")).select(key.alias("key"))
+    held = own.select(key.alias("key"), "first", "row").repartition(buckets, "key")
+    # an inner join: the optimiser would take a semi join before the shuffle, which then moves the texts twice
+    held = held.join(least.repartition(buckets, "key"), "key").dropDuplicates(["key"])
+    name = f"kelpline_{uuid.uuid4().hex}"
+    held.write.bucketBy(buckets, "key").sortBy("key").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the catalogue's entry; the files stay
+    return out
+
+
+def sketched(unique: DataFrame, similarity: float, words: int) -> DataFrame:
+    """key, id, first, two fingerprints, number of shingles, parities and prefix of each text.
+
+    ``fp`` is the fingerprint of the set of words, ``other`` that of the set of
+    shingles; ``id`` is a hash of the key (equal ids only cost comparisons).
+    """
+    text = F.col("row.text").cast("string")
+    common, counts = common_shingles(unique, words)
+    schema = pa.schema([("key", pa.string()), ("id", pa.int64()), ("first", pa.int64()), ("fp", pa.int64()), ("other", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column(2).to_pylist()
-            fps = [np.array([fingerprint_of(t, distinct=d) for t in texts], dtype=np.uint64).view(np.int64) for d in (True, False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, fps)], schema=schema)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _copy().alias("copy"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, copy string, fp long, other long")
-
-
-def joined(near: np.ndarray) -> np.ndarray:
-    """For each member of a bucket, the first member that it is connected to, from the matrix of near members."""
-    label = np.arange(len(near))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):  # bounds what a worker holds besides the batch
+                batch = whole.slice(at, 512)
+                fps, shingles = [[], []], []
+                for t in batch.column(3):
+                    own = word_hashes(t.as_py())
+                    shingles.append(shingle_hashes(own, words))
+                    for k, x in enumerate((np.unique(own), shingles[-1])):
+                        fps[k].append(majority(x))
+                signed = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in fps]
+                prefixes = [prefix_of(x, similarity, common, counts) for x in shingles]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *signed, pa.array([len(x) for x in shingles], pa.int64()), pa.array(map(parities, shingles), pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], schema=schema)
+
+    ddl = "key string, id long, first long, fp long, other long, n long, bits binary, prefix array<long>"
+    return unique.select("key", F.xxhash64("key").alias("id"), "first", text.alias("text")).mapInArrow(run, ddl)
+
+
+def joined(n: int, near) -> np.ndarray:
+    """For each of ``n`` members of a bucket, the first member that it is connected to.
+
+    ``near(low, high)``: which members are near those from low to high.
+    """
+    rows = [(at, near(at, min(at + 256, n))) for at in range(0, n, 256)]
+    label = np.arange(n)
     while True:
-        new = np.where(near, label, len(near)).min(axis=1)
+        new = np.concatenate([np.where(own, label, n).min(axis=1) for _, own in rows])
         new = new[new]
         if (new == label).all():
             return label
         label = new
 
 
-def item_links(items: DataFrame, distance: int, other_distance: int, parts: tuple[int, ...], bucket: int = BUCKET) -> DataFrame:
-    """Links (a, b) among (id, fp, other) rows that are near by both fingerprints.
+def fingerprint_near(distance: int, other_distance: int):
+    """Nearness of (id, fp, other) items by both fingerprints."""
 
-    Candidates by the generalised pigeonhole on ``fp``; both distances are
-    checked.
-    """
-    masks = chosen_masks(items.select("fp"), distance, parts, bucket)
-    keys = F.array(*[F.struct(F.lit(k).alias("tag"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("value")) for k, m in enumerate(masks)])
-    keys = items.select(F.struct("id", "fp", "other").alias("item"), F.explode(keys).alias("key")).select("key.tag", "key.value", "item")
+    def of(items: pa.StructArray):
+        a, b = (items.field(k).to_numpy().view(np.uint64) for k in (1, 2))
+        return lambda low, high: (np.bitwise_count(a[low:high, None] ^ a) <= distance) & (np.bitwise_count(b[low:high, None] ^ b) <= other_distance)
 
-    def near(held: pa.StructArray) -> np.ndarray:
-        a, b = (held.field(k).to_numpy().view(np.uint64) for k in (1, 2))
-        return (np.bitwise_count(a[:, None] ^ a) <= distance) & (np.bitwise_count(b[:, None] ^ b) <= other_distance)
+    return of
 
-    return bucket_links(keys, near, bucket)
 
+def parity_near(similarity: float):
+    """Nearness of (id, n, bits) items: whether sizes and parities allow the similarity."""
 
-def bucket_links(keys: DataFrame, near, bucket: int = BUCKET) -> DataFrame:
-    """Links (a, b) that connect what ``near`` connects within the buckets of (tag, value, item) rows.
+    def of(items: pa.StructArray):
+        n = items.field(1).to_numpy()
+        bits = np.frombuffer(b"".join(items.field(2).to_pylist()), dtype=np.uint64).reshape(len(n), -1)
 
-    ``near`` makes the matrix of near members from the items, whose first field
-    is the id. Buckets of over ``bucket`` rows are dealt into chunks, and every
-    two chunks meet in a task of their own.
+        def near(low: int, high: int) -> np.ndarray:
+            apart = np.zeros((high - low, len(n)), dtype=np.int16)
+            for column in bits.T:
+                apart += np.bitwise_count(column[low:high, None] ^ column)
+            both = n[low:high, None] + n
+            fits = np.minimum(n[low:high, None], n) >= similarity * np.maximum(n[low:high, None], n) - 1e-9
+            return fits & (apart <= both * ((1 - similarity) / (1 + similarity)) + 1e-9)
+
+        return near
+
+    return of
+
+
+def fingerprint_keys(items: DataFrame, distance: int, parts: tuple[int, ...]) -> DataFrame:
+    """(tag, value, item) rows for the probes of the generalised pigeonhole on ``fp``."""
+    masks = chosen_masks(items.select("fp"), distance, parts)
+    keys = F.array(*[F.struct(F.lit(k).alias("tag"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("value")) for k, m in enumerate(masks)])
+    return items.select(F.struct("id", "fp", "other").alias("item"), F.explode(keys).alias("key")).select("key.tag", "key.value", "item")
+
+
+def prefix_keys(items: DataFrame, keep=materialise) -> DataFrame:
+    """(tag, value, item) rows for the shingles that prefixes of several texts share.
+
+    Of shingles that the same texts share (as those of near copies are), one
+    stands for all: they are told by sums over the texts, not by lists. Few
+    shingles of prefixes are shared: the others go before any of this.
     """
-    large = materialise(keys.groupBy("tag", "value").count().where(F.col("count") > bucket))
-    some = not large.isEmpty()
-    few = keys.join(large, ["tag", "value"], "left_anti") if some else keys
-    own = few.groupBy("tag", "value").agg(F.collect_list("item").alias("own")).where(F.size("own") > 1).select("own")
-    if some:
-        chunks = F.ceil(F.col("count") / bucket).cast("long")
-        dealt = keys.join(large, ["tag", "value"]).withColumn("mine", F.pmod(F.xxhash64("item"), chunks)).select("*", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("met"))
-        met = dealt.groupBy("tag", "value", F.least("mine", "met").alias("one"), F.greatest("mine", "met").alias("two")).agg(F.collect_list("item").alias("own"))
-        own = own.unionByName(met.select("own"))
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    spread = items.select("id", F.explode("prefix").alias("value")).repartition("value")  # one shuffle for both uses
+    seen = spread.groupBy("value").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    member = keep(spread.join(seen.where("low < high").select("value"), "value"))
+    lists = member.groupBy("value").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.bit_xor(F.xxhash64("id")).alias("mixed"), F.count(F.lit(1)).alias("c"))
+    one = lists.groupBy("low", "high", "mixed", "c").agg(F.min("value").alias("value")).select("value")
+    own = member.join(one, "value").join(items.select("id", "n", "bits"), "id")
+    return own.select(F.lit(0).alias("tag"), "value", F.struct("id", "n", "bits").alias("item"))
+
+
+_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _each_bucket(own: DataFrame, links_of) -> DataFrame:
+    """Links of buckets (own: a list of items whose first field is the id)."""
 
     def run(batches):
         for batch in batches:
@@ -392,17 +485,44 @@ def bucket_links(keys: DataFrame, near, bucket: int = BUCKET) -> DataFrame:
             for at, end in zip(ends, ends[1:], strict=False):
                 # by id: whatever the bucket, a group's links lead to its smallest member there
                 order = at + np.argsort(ids[at:end], kind="stable")
-                label = joined(near(held.take(pa.array(order))))
-                moved = np.nonzero(label != np.arange(end - at))[0]
-                if len(moved):
-                    out.append((ids[order[moved]], ids[order[label[moved]]]))
+                a, b = links_of(held.take(pa.array(order)))
+                out.append((ids[order[a]], ids[order[b]]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=_LINK)
 
     return own.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
-def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+def bucket_links(keys: DataFrame, near, salt: int | None = None, keep=materialise) -> tuple[DataFrame, bool]:
+    """Links (a, b) that connect what ``near`` connects within buckets, and whether any was large.
+
+    A bucket of more than BUCKET rows is dealt out by ``salt``, each part
+    linked for itself. Without a salt every two parts meet too, so no link is
+    missed; that is for what rounds with salts have left.
+    """
+    sizes = keys.groupBy("tag", "value").count()
+    large = keep(sizes.where(F.col("count") > BUCKET))
+    some = not large.isEmpty()
+    few = keys.join(large, ["tag", "value"], "left_anti") if some else keys
+    own = few.groupBy("tag", "value").agg(F.collect_list("item").alias("own")).where(F.size("own") > 1).select("own")
+    if some:
+        parts = F.ceil(F.col("count") / (BUCKET if salt is None else BUCKET / 2)).cast("long")
+        dealt = keys.join(large, ["tag", "value"]).withColumn("mine", F.pmod(F.xxhash64("item.id", F.lit(salt or 0)), parts))
+        if salt is None:
+            dealt = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("met"))
+            met = dealt.groupBy("tag", "value", F.least("mine", "met").alias("one"), F.greatest("mine", "met").alias("two"))
+        else:
+            met = dealt.groupBy("tag", "value", "mine")
+        own = own.unionByName(met.agg(F.collect_list("item").alias("own")).select("own"))
+
+    def spanning(items: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+        label = joined(len(items), near(items))
+        return np.arange(len(items)), label
+
+    return _each_bucket(own, spanning), some
+
+
+def common_shingles(unique: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of shingles that several texts of a sample hold, sorted, and their counts."""
     schema = pa.schema([("shingle", pa.int64())])
 
@@ -411,8 +531,8 @@ def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
             for t in batch.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(t.as_py(), words))], schema=schema)
 
-    share = max(1, docs.count() // SAMPLE)
-    held = docs.where(F.pmod(F.xxhash64(_copy()), F.lit(share)) == 0).select(F.col("text").cast("string").alias("text")).distinct()
+    share = max(1, unique.count() // SAMPLE)
+    held = unique.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0).select(F.col("row.text").cast("string").alias("text"))
     top = held.mapInArrow(run, "shingle long").groupBy("shingle").count().where("count > 1").orderBy(F.desc("count"), "shingle").limit(COMMON).collect()
     top.sort()
     return np.array([r[0] for r in top], dtype=np.int64), np.array([r[1] for r in top], dtype=np.int64)
@@ -442,125 +562,172 @@ def parities(shingles: np.ndarray) -> bytes:
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
 
-def prefix_links(docs: DataFrame, similarity: float, words: int, bucket: int = BUCKET) -> DataFrame:
-    """Links (a, b) that connect all texts whose shingles have the similarity, and few others.
+def settled(first, text, similarity: float, words: int) -> list[int]:
+    """Which of a group's texts go, each near one before it in order of doc_id that stays.
 
-    Texts that share a shingle of their prefixes are candidates; pairs whose
-    numbers of shingles or parities rule the similarity out are dropped. Both
-    are bounds, so no pair of the similarity is missed. ``id`` of a text is the
-    hash of its ``copy``.
+    Leaders are found through the shingles that they share with a document.
     """
-    common, counts = common_shingles(docs, words)
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+    order = sorted(range(len(text)), key=lambda i: (first[i] is not None, first[i] or 0, text[i] or ""))
+    sets = [shingle_hashes(text[i], words) for i in order]
+    sizes = [len(x) for x in sets]
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.where(count[place] > 1, place, -1)  # what one text alone holds tells nothing
+    holders: dict[int, list[int]] = {}
+    gone, end = [], 0
+    for k, i in enumerate(order):
+        own, end = place[end : end + sizes[k]], end + sizes[k]
+        own = own[own >= 0].tolist()
+        shared = Counter(leader for x in own for leader in holders.get(x, ()))
+        if any(n >= similarity * (sizes[k] + sizes[leader] - n) for leader, n in shared.items()):
+            gone.append(i)
+            continue
+        for x in own:
+            holders.setdefault(x, []).append(k)
+    return gone
 
-    def run(batches):
-        for batch in batches:
-            own = [shingle_hashes(t.as_py(), words) for t in batch.column(1)]
-            prefixes = [prefix_of(s, similarity, common, counts) for s in own]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array(map(parities, own), pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], schema=schema)
-
-    read = docs.select(F.xxhash64(_copy()).alias("id"), F.col("text").cast("string").alias("text"))
-    held = materialise(read.mapInArrow(run, "id long, n long, bits binary, prefix array<long>"))
-    shared = held.select("id", F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.sort_array(F.collect_set("id")).alias("ids"))
-    # copies share most of their lists
-    shared = materialise(shared.where(F.size("ids") > 1).select("ids").distinct())
-    member = shared.select(F.xxhash64("ids").alias("value"), F.explode("ids").alias("id"))
-    keys = member.join(held.select("id", "n", "bits").distinct(), "id").select(F.lit(0).alias("tag"), "value", F.struct("id", "n", "bits").alias("item"))
-
-    def near(items: pa.StructArray) -> np.ndarray:
-        n = items.field(1).to_numpy()
-        bits = np.frombuffer(b"".join(items.field(2).to_pylist()), dtype=np.uint64).reshape(len(n), -1)
-        apart = np.zeros((len(n), len(n)), dtype=np.int16)
-        for column in bits.T:
-            apart += np.bitwise_count(column[:, None] ^ column)
-        fits = np.minimum(n[:, None], n) >= similarity * np.maximum(n[:, None], n) - 1e-9
-        return fits & (apart <= (n[:, None] + n) * ((1 - similarity) / (1 + similarity)) + 1e-9)
 
-    return bucket_links(materialise(keys), near, bucket)
+def collapsed(space: Workspace, unique: DataFrame, items: DataFrame, links: DataFrame, similarity: float, words: int) -> tuple[DataFrame, DataFrame]:
+    """(key) of the texts that go by these links, and (key, id) of those left in components that never met in one task.
 
+    Within a component, a text goes if its shingles have the similarity to
+    those of one that stays. Components of over MEMBERS texts or SHINGLES
+    shingles are dealt into groups of that size, each settled in a task; what
+    is left of them is dealt out anew, until a round leaves over SHRUNK of it.
+    """
+    label = components(links, space.keep)
+    open_ = space.keep(items.select("key", "id", "first", "n").join(label.select(F.col("node").alias("id"), "parent"), "id"))
+    gone: list[DataFrame] = []
+    turn = 0
+    while True:
+        size = open_.groupBy("parent").agg(F.greatest(F.ceil(F.count(F.lit(1)) / MEMBERS), F.ceil(F.sum("n") / SHINGLES)).alias("groups"))
+        dealt = open_.join(size, "parent").withColumn("sub", F.pmod(F.xxhash64("key", F.lit(turn)), F.col("groups")))
+        texts = unique.select("key", F.col("row.text").cast("string").alias("text")).join(dealt.select("key", "first", "parent", "sub").hint("shuffle_hash"), "key")
+
+        def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+            first = [None if x != x else int(x) for x in pdf["first"].tolist()]
+            out = settled(first, pdf["text"].tolist(), similarity, words)
+            return pd.DataFrame({"key": pdf["key"].iloc[out]}, dtype=object)
+
+        gone.append(space.keep(texts.groupBy("parent", "sub").applyInPandas(settle, "key string")))
+        large = dealt.where("groups > 1").select("key", "id", "first", "n", "parent")
+        left = space.keep(large.join(gone[-1], "key", "left_anti"))
+        before, after = large.count(), left.count()
+        if not after or after > SHRUNK * before:
+            break
+        open_, turn = left, turn + 1
+    # a component that has shrunk to one group was settled as a whole
+    return functools.reduce(DataFrame.unionByName, gone), left.select("key", "id")
 
-def _copy():
-    return F.md5(F.coalesce(F.col("text"), F.lit("")))
 
+def checked_pairs(space: Workspace, unique: DataFrame, items: DataFrame, near, similarity: float, words: int) -> DataFrame:
+    """(a, b) ids of all pairs of ``items`` whose shingles have the similarity.
 
-def _shingled(members: DataFrame, words: int) -> DataFrame:
-    schema = pa.schema([("parent", pa.int64()), ("copy", pa.string()), ("first", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    Pairs come from shared shingles of prefixes, bounded by sizes and parities,
+    and are checked one by one. For what rounds of `collapsed` could not reduce:
+    texts that are mostly unlike each other.
+    """
 
-    def run(batches):
+    def every(held: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+        of, n = near(held), len(held)
+        found = [np.nonzero(np.triu(of(at, min(at + 256, n)), at + 1)) for at in range(0, n, 256)]
+        return np.concatenate([a + at for (a, _), at in zip(found, range(0, n, 256), strict=True)]), np.concatenate([b for _, b in found])
+
+    keys = space.keep(prefix_keys(items, space.keep))
+    parts = F.ceil(F.col("c") / BUCKET).cast("long")
+    dealt = keys.join(keys.groupBy("tag", "value").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), ["tag", "value"]).withColumn("mine", F.pmod(F.xxhash64("item.id"), parts))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("met"))
+    met = dealt.groupBy("tag", "value", F.least("mine", "met").alias("one"), F.greatest("mine", "met").alias("two")).agg(F.collect_list("item").alias("own")).select("own")
+    pairs = space.keep(_each_bucket(met, every))
+    texts = unique.select(F.xxhash64("key").alias("id"), F.col("row.text").cast("string").alias("text"))
+    of = lambda side: texts.select(F.col("id").alias(side), F.col("text").alias(f"{side}_text"))
+    whole = pairs.join(of("a"), "a").join(of("b"), "b")
+
+    def check(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([shingle_hashes(t.as_py(), words) for t in batch.column(3)], pa.list_(pa.int64()))], schema=schema)
+            sets = [[shingle_hashes(t.as_py(), words) for t in batch.column(k)] for k in (2, 3)]
+            both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sets, strict=True)]
+            near = [n >= similarity * (len(x) + len(y) - n) for n, x, y in zip(both, *sets, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near, pa.bool_())) for k in (0, 1)], schema=_LINK)
 
-    return members.select("parent", "copy", "first", "text").mapInArrow(run, "parent long, copy string, first long, shingles array<long>")
+    return whole.select("a", "b", "a_text", "b_text").mapInArrow(check, "a long, b long")
 
 
-def settled(first, copy, shingles, similarity: float) -> list[str]:
-    """The copies of a component that go, each near a leader before it in order of doc_id.
+def dominated(space: Workspace, pairs: DataFrame) -> DataFrame:
+    """(id) of the nodes outside an independent set that no further node can join.
 
-    Leaders are found through the shingles that they share with a document.
+    Each round takes the nodes that come before all their neighbours in a
+    random order; rounds grow with the logarithm of the number of pairs.
     """
-    order = sorted(range(len(copy)), key=lambda i: (first.iloc[i] == first.iloc[i], first.iloc[i] if first.iloc[i] == first.iloc[i] else 0, copy.iloc[i]))
-    holders: dict[int, list[int]] = {}
-    sizes, gone = [], []
-    for i in order:
-        own = shingles.iloc[i].tolist()
-        shared = Counter(leader for s in own for leader in holders.get(s, ()))
-        if any(n >= similarity * (len(own) + sizes[leader] - n) for leader, n in shared.items()):
-            gone.append(copy.iloc[i])
-            continue
-        for s in own:
-            holders.setdefault(s, []).append(len(sizes))
-        sizes.append(len(own))
-    return gone
+    rank = lambda c: F.struct(F.xxhash64(c), F.col(c))
+    edges = space.keep(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    gone: list[DataFrame] = []
+    while not edges.isEmpty():
+        chosen = edges.groupBy("a").agg(F.min(rank("b")).alias("least")).where(rank("a") < F.col("least")).select("a")
+        gone.append(space.keep(edges.join(chosen, "a").select(F.col("b").alias("id")).distinct()))
+        settled_ = chosen.select(F.col("a").alias("id")).unionByName(gone[-1])
+        left = edges.join(settled_.select(F.col("id").alias("a")), "a", "left_anti").join(settled_.select(F.col("id").alias("b")), "b", "left_anti")
+        edges = space.keep(left.select("a", "b"))
+    return functools.reduce(DataFrame.unionByName, gone) if gone else edges.select(F.col("a").alias("id"))
 
 
-def deduplicate(docs: DataFrame, similarity: float = 0.8, words: int = 5, distance: int = 8, other_distance: int = 14, parts: tuple[int, ...] = (5, 6, 7)) -> DataFrame:
+def deduplicate(docs: DataFrame, similarity: float = 0.8, words: int = 5, distance: int = 4, other_distance: int = 16, parts: tuple[int, ...] = (4, 5, 6)) -> DataFrame:
     """One document of each group of near copies, with all its columns.
 
-    Candidates: SimHash fingerprints of the documents' sets of words within
-    ``distance`` bits, found by the generalised pigeonhole, whose fingerprints of
-    word triples are within ``other_distance`` bits, and, as those miss copies
-    with contiguous edits, all pairs that share a shingle of their prefixes; and
-    their components. No pair of the similarity is missed.
-    Within a component, the document with the smallest doc_id leads:
-    those whose sets of ``words``-word shingles have a Jaccard similarity of
-    at least ``similarity`` to it go, the rest choose their next leader, until
-    all are settled (in one task where the component is small, else in rounds
-    over all large components). So every document that goes is a checked near copy of one
-    that stays. Of equal texts the smallest doc_id stays, once; null and empty
-    texts are equal.
-
-    Scale: besides the fingerprints, a row for about a fifth of all shingles
-    moves. Only texts that share a component with others are read again. Both
-    joins by component are skew joins at worst: one side has a row a component.
+    Near copies: sets of ``words``-word shingles with a Jaccard similarity of at
+    least ``similarity``. First pass: candidates by SimHash, fingerprints of the
+    sets of words within ``distance`` bits (found by the generalised pigeonhole)
+    and of shingles within ``other_distance``; each is checked, and copies go. Second pass, as fingerprints miss copies with contiguous edits: of what
+    is left, all texts that share a shingle of their prefixes and whose sizes
+    and parities allow the similarity. These are bounds, so no two documents
+    that stay have the similarity. Every document that goes is a checked near
+    copy of one that stays or that went for another. Of equal texts the smallest
+    doc_id stays, once; null and empty texts are equal; other columns, whatever
+    their names, are kept; an empty table gives an empty result.
+
+    Scale: the texts are shuffled once, into buckets by a hash. Besides them a
+    row for about a fifth of the shingles of what the first pass left moves.
+    No group, bucket or component is held by one task beyond a fixed size:
+    larger ones are dealt out in rounds while these shrink them; only of what
+    is unlike and still shares a shingle with over BUCKET texts do all parts
+    meet. Tables of the passes are deleted at the end; the distinct texts and
+    the keys of those that go stay in the shared folder for the result.
     """
-    sketch = materialise(_sketches(docs))
-    texts = materialise(sketch.groupBy("copy", "fp", "other").agg(F.min("doc_id").alias("first")).withColumn("id", F.xxhash64("copy")))
-    labels = components(item_links(texts, distance, other_distance, parts).unionByName(prefix_links(docs, similarity, words)).distinct())
-    grouped = texts.join(labels.select(F.col("node").alias("id"), "parent"), "id").select("parent", "copy", "first")
-    several = grouped.groupBy("parent").count().where("count > 1").select("parent")
-    members = materialise(grouped.join(several, "parent").select("parent", "copy", "first"))
-    source = docs.select(F.col("doc_id").cast("long").alias("id"), _copy().alias("same"), "text")
-    wanted = source.join(members, (F.col("same") == F.col("copy")) & F.col("id").eqNullSafe(F.col("first"))).dropDuplicates(["copy"])
-    open_ = materialise(_shingled(wanted, words))
+    spark = docs.sparkSession
+    space, kept = Workspace(spark), Workspace(spark)
+    unique = distinct_texts(docs)
+    items = space.keep(sketched(unique, similarity, words))
     gone: list[DataFrame] = []
-    while True:
-        size = open_.groupBy("parent").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("shingles")).alias("shingles"))
-        large = materialise(size.where((F.col("n") > MEMBERS) | (F.col("shingles") > SHINGLES)).select("parent"))
-        if large.isEmpty():
-            break
-        own = open_.join(large, "parent")
-        leader = own.groupBy("parent").agg(F.min(F.struct("first", "copy")).alias("l")).select("parent", F.col("l.copy").alias("copy"))
-        led = own.join(leader, ["parent", "copy"]).select("parent", F.col("copy").alias("leader"), F.col("shingles").alias("led"))
-        both = F.size(F.array_intersect("shingles", "led"))
-        near = both >= F.lit(similarity) * (F.size("shingles") + F.size("led") - both)
-        judged = materialise(own.join(led, "parent").where("copy <> leader").withColumn("near", near).drop("led", "leader"))
-        gone.append(judged.where("near").select("copy"))
-        open_ = materialise(open_.join(large, "parent", "left_anti").unionByName(judged.where("not near").drop("near")))
-    settle = lambda pdf: pd.DataFrame({"copy": settled(pdf["first"], pdf["copy"], pdf["shingles"], similarity)}, dtype=object)
-    gone.append(open_.groupBy("parent").applyInPandas(settle, "copy string"))
-    every = materialise(functools.reduce(DataFrame.unionByName, gone))
-    stay = texts.select("copy", "first")
-    stay = stay.join(every, "copy", "left_anti")
-    own = docs.select(_copy().alias("same"), F.col("doc_id").cast("long").alias("id"), F.struct(*docs.columns).alias("row"))
-    kept = own.join(stay, (F.col("same") == F.col("copy")) & F.col("id").eqNullSafe(F.col("first")))
-    return kept.dropDuplicates(["same", "id"]).select("row.*")
+
+    def narrowed(by: DataFrame, how: str) -> None:
+        """Carries on with a part of the items, in new tables."""
+        nonlocal space, items
+        after = Workspace(spark)
+        items = after.keep(items.join(by, "key", how))
+        space.drop()
+        space = after
+
+    def passes(keys_of, near, salted: bool = True) -> tuple[DataFrame, bool]:
+        """Rounds of links and checks: what large components have left, and whether a bucket was large."""
+        for turn in range(1 << 30):
+            links, large = bucket_links(space.keep(keys_of(items)), near, turn if salted else None, space.keep)
+            went, stuck = collapsed(space, unique, items, space.keep(links), similarity, words)
+            gone.append(kept.keep(went))
+            stuck, before = kept.keep(stuck), items.count()
+            if not (salted and large and gone[-1].count() >= (1 - SHRUNK) * before):
+                return stuck, large
+            narrowed(gone[-1], "left_anti")
+
+    passes(lambda own: fingerprint_keys(own, distance, parts), fingerprint_near(distance, other_distance))
+    narrowed(gone[-1], "left_anti")
+    bound = parity_near(similarity)
+    stuck, large = passes(lambda own: prefix_keys(own, space.keep), bound)
+    if large:  # what is left of large buckets: now all their parts meet
+        narrowed(gone[-1], "left_anti")
+        stuck, _ = passes(lambda own: prefix_keys(own, space.keep), bound, salted=False)
+    if not stuck.isEmpty():
+        narrowed(stuck.select("key"), "left_semi")
+        out = dominated(space, checked_pairs(space, unique, items, bound, similarity, words))
+        gone.append(kept.keep(items.join(out, "id", "left_semi").select("key")))
+    every = functools.reduce(DataFrame.unionByName, gone)
+    space.drop()
+    return unique.join(every.hint("shuffle_hash"), "key", "left_anti").select("row.*")

@@ -109,30 +109,94 @@ def plain_similarity(a, b, words=5):
     return len(one & two) / len(one | two)
 
 
-def test_contiguous_edits_equal_brute_force(spark, documents, monkeypatch):
-    rng = np.random.default_rng(11)
-    monkeypatch.setattr(simhash, "SAMPLE", 40)  # the order of shingles comes from a part of the texts
+def edited(rng, groups):
+    """Texts with scattered and contiguous edits, in a random order."""
     fresh = lambda n: [f"w{k}" for k in rng.integers(0, 3000, n)]
     line, own = fresh(12), []
-    for k in range(40):
+    for k in range(groups):
         base = fresh(int(rng.integers(6, 300))) + line * (k % 2)
         n = len(base)
-        own += [base, base[: int(0.86 * n)], base + fresh(int(0.15 * n)), base[: int(0.93 * n)] + fresh(int(0.05 * n)), fresh(int(0.12 * n)) + base]
+        swapped = list(base)
+        swapped[n // 2] = "other"
+        own += [base, base[: int(0.86 * n)], base + fresh(int(0.15 * n)), base[: int(0.93 * n)] + fresh(int(0.05 * n)), fresh(int(0.12 * n)) + base, swapped]
     rng.shuffle(own := [tuple(t) for t in own])
-    stay = []
-    for k, t in enumerate(own):
-        if not any(plain_similarity(t, own[j]) >= 0.8 for j in stay):
-            stay.append(k)
-    got = sorted(r["doc_id"] for r in simhash.deduplicate(documents([(k, " ".join(t), "s") for k, t in enumerate(own)])).collect())
-    assert got == stay and len(stay) < 120
+    return own
+
+
+def check_kept(own, kept):
+    """No two that stay are near copies; each that goes is one of another that stays or went."""
+    same = lambda i, j: plain_similarity(own[i], own[j]) >= 0.8
+    assert not [(i, j) for i in kept for j in kept if i < j and same(i, j)]
+    reached, open_ = set(kept), set(range(len(own))) - set(kept)
+    while more := {i for i in open_ if any(same(i, j) for j in reached)}:
+        reached, open_ = reached | more, open_ - more
+    assert not open_
+
+
+@pytest.mark.parametrize("limits", [{}, {"MEMBERS": 2}, {"SHINGLES": 150}, {"BUCKET": 4}, {"MEMBERS": 2, "BUCKET": 3, "SHRUNK": 0.0}])
+def test_near_copies_against_brute_force(documents, monkeypatch, limits):
+    """Also where components, texts and buckets are over the limits of a task, and where rounds don't shrink them."""
+    rng = np.random.default_rng(11)
+    for name, value in ({"SAMPLE": 40} | limits).items():
+        monkeypatch.setattr(simhash, name, value)
+    own = edited(rng, 24)
+    out = simhash.deduplicate(documents([(k, " ".join(t), "s") for k, t in enumerate(own)]))
+    kept = sorted(r["doc_id"] for r in out.collect())
+    check_kept(own, kept)
+    assert len(kept) < 90
+
+
+def test_a_large_group_of_near_copies(documents, monkeypatch):
+    """One group of near copies beyond every limit leaves one document."""
+    for name, value in (("MEMBERS", 8), ("BUCKET", 16)):
+        monkeypatch.setattr(simhash, name, value)
+    rng = np.random.default_rng(2)
+    base = [f"w{k}" for k in rng.integers(0, 4000, 300)]
+    own = []
+    for k in range(150):
+        t = list(base)
+        t[int(rng.integers(0, 300))] = f"x{k}"
+        own.append(tuple(t[: 300 - int(rng.integers(0, 12))]))
+    other = [tuple(f"v{j}" for j in rng.integers(0, 4000, 50)) for _ in range(20)]
+    docs = documents([(k, " ".join(t), "s") for k, t in enumerate(own + other)])
+    kept = {r["doc_id"] for r in simhash.deduplicate(docs).collect()}
+    assert len(kept & set(range(150))) == 1 and kept >= set(range(150, 170))
 
 
 @pytest.mark.parametrize("bucket", [2048, 4])
-def test_prefix_links_span_every_pair(spark, documents, bucket):
+def test_prefix_links_span_every_pair(spark, documents, monkeypatch, bucket):
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
     rng = np.random.default_rng(3)
     base = [f"w{k}" for k in rng.integers(0, 900, 120)]
     own = [base[a : 120 - b] for a in range(0, 40, 4) for b in range(0, 40, 4)]
-    docs = documents([(k, " ".join(t), "s") for k, t in enumerate(own)])
-    ids = {r[0]: r[1] for r in docs.selectExpr("doc_id", "xxhash64(md5(text))").collect()}
-    label = dict(simhash.components(simhash.prefix_links(docs, 0.8, 5, bucket)).collect())
-    assert all(label[ids[i]] == label[ids[j]] for i in ids for j in ids if i < j and plain_similarity(own[i], own[j]) >= 0.8)
+    unique = simhash.distinct_texts(documents([(k, " ".join(t), "s") for k, t in enumerate(own)]))
+    items = simhash.materialise(simhash.sketched(unique, 0.8, 5))
+    ids = {r["first"]: r["id"] for r in items.collect()}
+    links, large = simhash.bucket_links(simhash.prefix_keys(items), simhash.parity_near(0.8))
+    assert large == (bucket == 4)
+    label = dict(simhash.components(links).collect())
+    near = [(i, j) for i in ids for j in ids if i < j and plain_similarity(own[i], own[j]) >= 0.8]
+    assert near and all(label[ids[i]] == label[ids[j]] for i, j in near)
+    monkeypatch.setattr(simhash, "BUCKET", 2048)
+    space = simhash.Workspace(spark)
+    pairs = {tuple(sorted(r)) for r in simhash.checked_pairs(space, unique, items, simhash.parity_near(0.8), 0.8, 5).collect()}
+    assert pairs == {tuple(sorted((ids[i], ids[j]))) for i, j in near}
+    space.drop()
+
+
+def test_dominated_leaves_a_maximal_independent_set(spark):
+    rng = np.random.default_rng(4)
+    pairs = {tuple(sorted(map(int, rng.integers(0, 200, 2)))) for _ in range(400)} | {(k, k + 1) for k in range(1000, 1200)}
+    pairs = {(a, b) for a, b in pairs if a != b}
+    space = simhash.Workspace(spark)
+    gone = {r[0] for r in simhash.dominated(space, spark.createDataFrame(sorted(pairs), "a long, b long")).collect()}
+    space.drop()
+    stay = {x for p in pairs for x in p} - gone
+    assert not [(a, b) for a, b in pairs if a in stay and b in stay]
+    assert all(any((a in stay and b == g) or (b in stay and a == g) for a, b in pairs) for g in gone)
+
+
+def test_rows_without_an_id_and_equal_texts(documents):
+    rows = [(None, "same words in this text here", "a")] * 30 + [(i, "same words in this text here", "b") for i in range(30)] + [(None, "another text of some six words", None)] * 3
+    out = simhash.deduplicate(documents(rows)).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in out) == [(False, 0), (True, 0)]
