@@ -139,12 +139,17 @@ def train_validation_split(rows: DataFrame, key: str, validation: float, seed: i
     hashed = rows.withColumn("h", F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))))
     prefixes = hashed.groupBy(F.substring("h", 1, 3).alias("prefix")).count()
     line = Window.orderBy("prefix")
-    prefixes = prefixes.select("prefix", (F.sum("count").over(line) - F.col("count")).alias("before"), F.sum("count").over(Window.partitionBy(F.lit(1))).alias("n"))
-    placed = hashed.join(prefixes, F.substring("h", 1, 3) == F.col("prefix"))
-    rank = F.col("before") + F.row_number().over(Window.partitionBy("prefix").orderBy("h", key))
+    prefixes = prefixes.select("prefix", "count", (F.sum("count").over(line) - F.col("count")).alias("before"), F.sum("count").over(Window.partitionBy(F.lit(1))).alias("n"))
     train = F.floor(F.lit(1.0 - validation) * F.col("n"))
     train = F.when((train > 0) & (train < F.col("n")), train).otherwise(F.raise_error(F.lit("a side of the split is empty")).cast("long"))
-    return placed.withColumn("split", F.when(rank <= train, "train").otherwise("validation")).drop("h", "prefix", "before", "n")
+    share = prefixes.select("prefix", "count", "before", train.alias("train"))
+    placed = hashed.join(share, F.substring("h", 1, 3) == F.col("prefix"))
+    cut = (F.col("before") < F.col("train")) & (F.col("train") < F.col("before") + F.col("count"))
+    side = lambda trains: F.when(trains, "train").otherwise("validation")
+    whole = placed.where(~cut).withColumn("split", side(F.col("before") < F.col("train")))
+    rank = F.col("before") + F.row_number().over(Window.partitionBy("prefix").orderBy("h", key))
+    parted = placed.where(cut).withColumn("split", side(rank <= F.col("train")))
+    return whole.unionByName(parted).drop("h", "prefix", "count", "before", "train")
 
 
 def random_timestep(lengths: DataFrame, key: str, length: str, seed: int) -> DataFrame:

@@ -97,7 +97,7 @@ def within_delay(synced: DataFrame, max_delay_us: int) -> DataFrame:
 def without_duplicates(synced: DataFrame) -> DataFrame:
     """Keeps a sample at the first step that it serves only."""
     first = F.row_number().over(Window.partitionBy(*STREAM, "src_us").orderBy("step"))
-    return synced.withColumn("nth", first).where((F.col("nth") == 1) & F.col("src_us").isNotNull()).drop("nth")
+    return synced.where("src_us is not null").withColumn("nth", first).where("nth = 1").drop("nth")
 
 
 def failures(synced: DataFrame, max_delay_us: int, allow_duplicates: bool) -> DataFrame:
@@ -106,8 +106,8 @@ def failures(synced: DataFrame, max_delay_us: int, allow_duplicates: bool) -> Da
     The delay is checked before the density.
     """
     late = F.coalesce(F.abs(F.col("grid_us") - F.col("src_us")) > max_delay_us, F.lit(True))
-    repeated = F.count(F.lit(1)).over(Window.partitionBy(*STREAM, "src_us")) > 1
-    per = synced.select("recording_id", late.alias("late"), repeated.alias("repeated")).groupBy("recording_id").agg(F.max("late").alias("late"), F.max("repeated").alias("repeated"))
+    uses = synced.groupBy(*STREAM, "src_us").agg(F.max(late).alias("late"), F.count(F.lit(1)).alias("uses"))
+    per = uses.groupBy("recording_id").agg(F.max("late").alias("late"), F.max(F.col("uses") > 1).alias("repeated"))
     sparse = F.col("repeated") & F.lit(not allow_duplicates)
     return per.select("recording_id", F.when(F.col("late"), "within max delta").when(sparse, "too sparse").alias("failure"))
 

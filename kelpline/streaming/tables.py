@@ -56,25 +56,43 @@ def deduplicated(stream: DataFrame, keys: list[str], event_time: str, delay: str
 class UpsertTable:
     """A table that micro-batches update: of each key the latest row, one folder a version.
 
-    A version is complete before the next reads it; a batch that runs again
-    writes its version again, so retries change nothing.
+    The state is in the folder alone: versions are numbered by batch and count
+    once they are complete, so a stream that stops, fails or starts again goes
+    on from the last one. A batch that runs again finds its version, or writes
+    it anew from the one before it. All but the last two versions are deleted.
     """
 
     def __init__(self, spark: SparkSession, key: str, order: list[str], root: str | None = None):
         self.spark, self.key, self.order = spark, key, order
         self.root = root or f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-        self.version = -1
+
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[int]:
+        """Complete versions, oldest first."""
+        path, fs = self._path("")
+        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        own = sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit())
+        return [v for v in own if fs.exists(self._path(f"v{v}/_SUCCESS")[0])]
 
     def read(self) -> DataFrame | None:
-        return None if self.version < 0 else self.spark.read.parquet(f"{self.root}/v{self.version}")
+        found = self.versions()
+        return self.spark.read.parquet(f"{self.root}/v{found[-1]}") if found else None
 
     def apply(self, batch: DataFrame, epoch: int) -> None:
-        old = self.read()
-        both = batch if old is None else old.unionByName(batch)
+        found = self.versions()
+        if epoch in found:
+            return
+        earlier = [v for v in found if v < epoch]
+        both = self.spark.read.parquet(f"{self.root}/v{earlier[-1]}").unionByName(batch) if earlier else batch
         columns = [c for c in both.columns if c != self.key]
         merged = both.groupBy(self.key).agg(F.max_by(F.struct(*columns), F.struct(*self.order)).alias("s")).select(self.key, "s.*")
         merged.write.mode("overwrite").parquet(f"{self.root}/v{epoch}")
-        self.version = epoch
+        for v in earlier[:-1]:
+            path, fs = self._path(f"v{v}")
+            fs.delete(path, True)
 
     def follow(self, stream: DataFrame, interval: str | None = None):
         """Keeps the table up to date with a stream.

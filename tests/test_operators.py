@@ -262,3 +262,44 @@ def test_images():
     out = images.resized(square, 4, 4)
     assert out.shape == (4, 4, 3) and out[0].max() == 0 and out[1:3].min() == 9
     assert images.depth_colours(np.array([0.0, 15.0, 1.0]))[0].tolist() == [0, 0, 0]
+
+
+def test_upsert_table_goes_on_after_a_restart(spark, tmp_path):
+    """A new process, a batch that runs again and a version left half written change nothing."""
+    from kelpline.streaming.tables import UpsertTable
+
+    root, ddl = f"file://{tmp_path}/table", "k long, at long, v string"
+    batch = lambda *rows: spark.createDataFrame(list(rows), ddl)
+    first = UpsertTable(spark, "k", ["at"], root)
+    assert first.read() is None
+    first.apply(batch((1, 1, "a"), (2, 1, "b")), 0)
+    first.apply(batch((1, 2, "c")), 1)
+    (tmp_path / "table" / "v2").mkdir()  # a failed write: no mark of success
+    again = UpsertTable(spark, "k", ["at"], root)
+    again.apply(batch((1, 9, "x")), 1)  # seen before
+    again.apply(batch((3, 1, "d"), (2, 0, "old")), 2)
+    again.apply(batch((3, 2, "e")), 3)
+    assert sorted(map(tuple, UpsertTable(spark, "k", ["at"], root).read().collect())) == [(1, 2, "c"), (2, 1, "b"), (3, 2, "e")]
+    assert again.versions() == [2, 3]
+
+
+def test_upsert_table_follows_a_stream_that_stops_and_starts(spark, tmp_path):
+    from kelpline.streaming.tables import UpsertTable, replay
+
+    root, source, ddl = f"file://{tmp_path}/table", f"{tmp_path}/in", "k long, at long, v string"
+    for turn, rows in enumerate([[(1, 1, "a"), (2, 1, "b")], [(1, 2, "c"), (3, 1, "d")]]):
+        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(source)
+        UpsertTable(spark, "k", ["at"], root).follow(replay(spark, source, ddl)).awaitTermination()
+    assert sorted(map(tuple, UpsertTable(spark, "k", ["at"], root).read().collect())) == [(1, 2, "c"), (2, 1, "b"), (3, 1, "d")]
+
+
+def test_split_ranks_only_the_prefix_of_the_cut(spark):
+    from kelpline.operators import episodes
+
+    rows = spark.range(5000)
+    out = episodes.train_validation_split(rows, "id", 0.3, 7)
+    n = {r["split"]: r["count"] for r in out.groupBy("split").count().collect()}
+    assert n == {"train": 3500, "validation": 1500}
+    h = {r["id"]: r["h"] for r in rows.selectExpr("id", "md5(concat(cast(id as string), ':7')) as h").collect()}
+    train = {i for i in sorted(h, key=lambda i: (h[i], i))[:3500]}
+    assert {r["id"] for r in out.where("split = 'train'").collect()} == train
