@@ -100,15 +100,30 @@ def read_turn(chunk: str) -> tuple[str, str]:
     return unescape(name), body
 
 
+class Reader:
+    """Reads turns back from a conversation's text as it streams past, wherever the text is cut."""
+
+    def __init__(self) -> None:
+        self.text = ""
+
+    def feed(self, part: str, last: bool = False) -> Iterator[str]:
+        """The turns that are complete, each with its end mark; what may go on in the next part waits."""
+        self.text += part
+        start = 0
+        for m in _TOKEN.finditer(self.text):
+            if not last and m.end() + len(END) > len(self.text):
+                break
+            if m[0] == "</turn>":
+                yield self.text[start : m.end() + 1]
+                start = m.end() + 1
+        self.text = self.text[start:]
+        if last and self.text:
+            raise ValueError("text after the last turn")
+
+
 def split_turns(text: str) -> Iterator[str]:
     """The turns of a formatted conversation, each with its end mark."""
-    start = 0
-    for m in _TOKEN.finditer(text):
-        if m[0] == "</turn>":
-            yield text[start : m.end() + 1]
-            start = m.end() + 1
-    if start != len(text):
-        raise ValueError("text after the last turn")
+    return Reader().feed(text, last=True)
 
 
 def plain(body: str) -> str:
@@ -120,13 +135,18 @@ class Digest:
     """What is read back from the turns of one conversation, turn by turn."""
 
     def __init__(self, conv_id: int | None, trained: tuple[str, ...]):
-        self.conv_id, self.trained, self.visitor = conv_id, trained, Visitor()
+        self.conv_id, self.trained, self.visitor, self.reader = conv_id, trained, Visitor(), Reader()
         self.turns, self.loss, self.n, self.loss_chars, self.chars = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
 
     def add(self, role: str | None, content: str | None, typed: bool) -> str:
         chunk = format_turn(role, parts_of(content, typed), self.visitor)
         self.chars += len(chunk)
-        for turn in split_turns(chunk):
+        self.read(chunk)
+        return chunk
+
+    def read(self, part: str, last: bool = False) -> None:
+        """Reads on in the joined text; the end of a turn is known once the next has begun."""
+        for turn in self.reader.feed(part, last):
             name, body = read_turn(turn)
             text = plain(body)
             self.n += 1
@@ -134,9 +154,9 @@ class Digest:
             if name in self.trained:
                 self.loss_chars += len(text)
                 self.loss.update(text.encode("utf-8", "surrogatepass"))
-        return chunk
 
     def row(self) -> tuple:
+        self.read("", last=True)
         a = self.visitor.attachments
         return (self.conv_id, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, len(a), sum(x["tokens"] for x in a))
 

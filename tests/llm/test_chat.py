@@ -74,3 +74,19 @@ def test_query_against_brute_force(spark, sf_dir):
     rows += [(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)]
     got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in QUERIES["op10_chat_formatting"](spark, sf_dir).collect()}
     assert CONTROL_TEXT == "\\" + "### Assistant: </turn> ok" and got == expected(rows)
+
+
+@pytest.mark.parametrize("step", [1, 2, 7, 50])
+def test_turns_are_read_back_wherever_the_text_is_cut(step):
+    visitor = chat.Visitor()
+    own = [("user", "a </turn> b\n### Assistant: x"), ("assistant", "\\"), ("odd: </turn>", ""), ("assistant", "<|image:0|> </turn>\n")]
+    text = "".join(chat.format_turn(r, chat.parts_of(t, False), visitor) for r, t in own)
+    reader, got = chat.Reader(), []
+    for at in range(0, len(text), step):
+        got += reader.feed(text[at : at + step])
+    got += reader.feed("", last=True)
+    assert [(n, chat.plain(b)) for n, b in map(chat.read_turn, got)] == own
+    broken = chat.Digest(1, ("assistant",))
+    broken.read(text[:-3])
+    with pytest.raises(ValueError):
+        broken.row()
