@@ -30,13 +30,31 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def domain_of(host: Column) -> Column:
-    """The last two labels of a host."""
-    return F.substring_index(host, ".", -2)
+#: Suffixes of several labels under which unrelated sites register.
+SUFFIXES = (
+    "co.uk", "org.uk", "ac.uk", "gov.uk", "me.uk", "com.au", "net.au", "org.au", "edu.au", "co.nz", "org.nz", "co.jp", "ne.jp", "or.jp", "ac.jp", "co.kr", "or.kr", "com.br", "net.br", "org.br",
+    "com.cn", "net.cn", "org.cn", "com.tw", "com.hk", "com.sg", "co.in", "co.za", "com.mx", "com.ar", "com.tr", "co.il", "com.ua", "github.io", "gitlab.io", "blogspot.com", "wordpress.com", "herokuapp.com", "netlify.app", "vercel.app",
+)
+_SUFFIX = "|".join(s.replace(".", r"\.") for s in SUFFIXES)
+_ADDRESS = r"^(\[.*|[0-9]{1,3}(\.[0-9]{1,3}){3})$"
+
+
+def bare_of(host: Column) -> Column:
+    """A host without user, port and final dots."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), r"(:[0-9]*)?\.*$", "")
 
 
 def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+    """What a site is registered under; an address (IPv4, IPv6) stands for itself."""
+    bare = bare_of(host)
+    return F.when(bare.rlike(_ADDRESS), bare).otherwise(F.regexp_extract(bare, rf"(?:^|\.)({_SUFFIX}|[^.]*)$", 1))
+
+
+def domain_of(host: Column) -> Column:
+    """The registered domain: the suffix and one label before it, if there is one."""
+    bare = bare_of(host)
+    found = F.regexp_extract(bare, rf"([^.]+\.(?:{_SUFFIX}|[^.]*))$", 1)
+    return F.when(bare.rlike(_ADDRESS) | (found == ""), bare).otherwise(found)
 
 
 def rule_for(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RULES) -> tuple[Column, Column]:
@@ -125,16 +143,17 @@ def plain_outcome(html: Column) -> Column:
     return F.when(F.length(html) > 0, (runs < STRAY_RUNS).cast("int"))
 
 
-SQL = r"""
+SQL = rf"""
 WITH split AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
          CASE WHEN length(html) > 0 THEN (len(regexp_extract_all(html, '###|%%%|&&&|\$\$\$|\*\*\*|!! ')) < 5)::INT END AS good
   FROM pages
 ), hosts AS (
-  SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix,
+  SELECT host, CASE WHEN regexp_matches(bare, '{_ADDRESS}') OR NOT contains(bare, '.') THEN bare ELSE regexp_extract(bare, '([^.]+\.(?:{_SUFFIX}|[^.]*))$', 1) END AS domain,
+         CASE WHEN regexp_matches(bare, '{_ADDRESS}') THEN bare ELSE regexp_extract(bare, '(?:^|\.)({_SUFFIX}|[^.]*)$', 1) END AS suffix,
          count(good) AS n, coalesce(sum(good), 0)::BIGINT AS good
-  FROM split GROUP BY host
+  FROM (SELECT host, good, regexp_replace(regexp_replace(host, '^.*@', ''), '(:[0-9]*)?\.*$', '') AS bare FROM split) GROUP BY host, bare
 ), domains AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(good)::BIGINT AS good FROM hosts GROUP BY ALL
 ), suffixes AS (SELECT suffix, sum(n)::BIGINT AS n, sum(good)::BIGINT AS good FROM domains GROUP BY ALL
 ), units AS (

@@ -46,3 +46,28 @@ def test_empty_and_repeated(spark):
     assert judged(spark, []) == {}
     df = spark.createDataFrame([(1, "http://a.b/", None, "h", "p", 7, 0.0)] * 3 + [(None, None, None, "h", "p", 7, 0.0)], PAGES)
     assert urls.judge(df, F.lit(None).cast("int")).count() == 4
+
+
+def test_registered_domains(spark):
+    want = {
+        "shop.example.co.uk": ("example.co.uk", "co.uk"), "example.co.uk": ("example.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "a.b.github.io": ("b.github.io", "github.io"), "www.example.com": ("example.com", "com"),
+        "a.com:8080": ("a.com", "com"), "me:pw@www.a.com": ("a.com", "com"), "10.1.2.3": ("10.1.2.3", "10.1.2.3"), "10.1.2.3:80": ("10.1.2.3", "10.1.2.3"), "localhost": ("localhost", "localhost"), "": ("", ""), "a.com.": ("a.com", "com"),
+        "notco.uk": ("notco.uk", "uk"), "[::1]": ("[::1]", "[::1]"),
+    }
+    own = spark.createDataFrame([(h,) for h in want], "host string")
+    got = own.select("host", urls.domain_of(urls.F.col("host")).alias("d"), urls.suffix_of(urls.F.col("host")).alias("s")).collect()
+    assert {r["host"]: (r["d"], r["s"]) for r in got} == want
+
+
+def test_sql_on_hosts_of_all_kinds(spark, tmp_path):
+    import duckdb
+
+    from kelpline.llm.queries import ORACLE_SQL, QUERIES
+
+    hosts = ["shop.example.co.uk", "other.co.uk", "a.github.io", "b.github.io", "10.1.2.3", "10.1.2.4:80", "u@x.com:81", "x.com", "localhost", "y.x.com.", "", "net", "a.example.net"]
+    rows = [(k, None if k % 41 == 0 else f"http://{hosts[k % len(hosts)]}/en/{k}", "### " * (k % 9) if k % 7 else "") for k in range(300)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    ours = sorted(map(tuple, QUERIES["op6_url_filters"](spark, str(tmp_path)).select("page_id", "host", "path", "rule", "verdict").collect()))
+    assert ours == sorted(duck.execute(f"SELECT page_id, host, path, rule, verdict FROM ({ORACLE_SQL['op6_url_filters']})").fetchall())
