@@ -15,9 +15,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from kelpline.llm.common import materialise
+from kelpline.llm.common import Workspace, materialise
 
 #: Frequent function words of the languages at hand.
 FUNCTION_WORDS = frozenset(
@@ -63,21 +62,18 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def with_statistics(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """doc_id, held_out and the statistics of each whole text (null: empty), and with ``whole`` the row itself."""
-    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.struct(*(docs.columns if whole else ["text"])).alias("row"))
-    at = chosen.schema["row"].dataType.fieldNames().index("text")
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("stats", T.ArrayType(T.FloatType()))])
-    schema = schema.add(chosen.schema["row"]) if whole else schema
+def with_statistics(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out and the statistics of each whole text (null: empty)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("stats", pa.list_(pa.float32()))])
 
     def run(batches):
         for batch in batches:
-            stats = [np.asarray(statistics(t.as_py()), dtype=np.float32) for t in batch.column(2).field(at)]
-            columns = [batch.column(0), batch.column(1), pa.array(stats, pa.list_(pa.float32()))] + [batch.column(2)] * whole
-            yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
+            stats = [np.asarray(statistics(t.as_py()), dtype=np.float32) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(stats, pa.list_(pa.float32()))], schema=schema)
 
-    return chosen.mapInArrow(run, schema)
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text"))
+    return chosen.mapInArrow(run, "doc_id long, held_out boolean, stats array<float>")
 
 
 class Model:
@@ -248,15 +244,17 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
     none, are judged apart. Learns as `classify` does. An empty table gives an
     empty result; columns of any names are kept.
 
-    Scale: the rows are written once with their statistics, so nothing but the
-    labelled rows' statistics is shuffled.
+    Scale: texts are read twice, once for the fit and once for the scores, and
+    no row is written or shuffled but the statistics of the first reading, which
+    are deleted once the model is fitted.
     """
-    stats = materialise(with_statistics(docs, whole=True))
-    model = fitted(stats, labels)
+    space = Workspace(docs.sparkSession)
+    model = fitted(space.keep(with_statistics(docs)), labels)
+    space.drop()
 
     @F.pandas_udf("double")
-    def score(own: pd.Series) -> pd.Series:
-        x = np.stack(own.to_list()).astype(np.float64) if len(own) else np.zeros((0, len(STATISTICS)))
+    def score(texts: pd.Series) -> pd.Series:
+        x = np.array([statistics(t) for t in texts], dtype=np.float32).reshape(len(texts), len(STATISTICS)).astype(np.float64)
         return pd.Series(scores_of(model, x))
 
-    return stats.where(score("stats") >= threshold).select("row.*")
+    return docs.where(score(F.coalesce(F.col("text").cast("string"), F.lit(""))) >= threshold)

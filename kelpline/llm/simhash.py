@@ -405,16 +405,19 @@ def sketched(unique: DataFrame, similarity: float, words: int) -> DataFrame:
 def joined(n: int, near) -> np.ndarray:
     """For each of ``n`` members of a bucket, the first member that it is connected to.
 
-    ``near(low, high)``: which members are near those from low to high.
+    ``near(i, others)``: which of the others are near member i. A member that
+    has been reached is compared with those only that have not been, so copies
+    of one text take a comparison each.
     """
-    rows = [(at, near(at, min(at + 256, n))) for at in range(0, n, 256)]
-    label = np.arange(n)
-    while True:
-        new = np.concatenate([np.where(own, label, n).min(axis=1) for _, own in rows])
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
+    label, left = np.arange(n), np.arange(n)
+    while len(left):
+        first, reached, left = left[0], [left[0]], left[1:]
+        while reached and len(left):
+            hit = near(reached.pop(), left)
+            label[left[hit]] = first
+            reached += left[hit].tolist()
+            left = left[~hit]
+    return label
 
 
 def fingerprint_near(distance: int, other_distance: int):
@@ -422,7 +425,7 @@ def fingerprint_near(distance: int, other_distance: int):
 
     def of(items: pa.StructArray):
         a, b = (items.field(k).to_numpy().view(np.uint64) for k in (1, 2))
-        return lambda low, high: (np.bitwise_count(a[low:high, None] ^ a) <= distance) & (np.bitwise_count(b[low:high, None] ^ b) <= other_distance)
+        return lambda i, others: (np.bitwise_count(a[others] ^ a[i]) <= distance) & (np.bitwise_count(b[others] ^ b[i]) <= other_distance)
 
     return of
 
@@ -434,13 +437,12 @@ def parity_near(similarity: float):
         n = items.field(1).to_numpy()
         bits = np.frombuffer(b"".join(items.field(2).to_pylist()), dtype=np.uint64).reshape(len(n), -1)
 
-        def near(low: int, high: int) -> np.ndarray:
-            apart = np.zeros((high - low, len(n)), dtype=np.int16)
-            for column in bits.T:
-                apart += np.bitwise_count(column[low:high, None] ^ column)
-            both = n[low:high, None] + n
-            fits = np.minimum(n[low:high, None], n) >= similarity * np.maximum(n[low:high, None], n) - 1e-9
-            return fits & (apart <= both * ((1 - similarity) / (1 + similarity)) + 1e-9)
+        def near(i: int, others: np.ndarray) -> np.ndarray:
+            out = np.minimum(n[others], n[i]) >= similarity * np.maximum(n[others], n[i]) - 1e-9
+            fit = others[out]
+            apart = np.bitwise_count(bits[fit] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            out[out] = apart <= (n[fit] + n[i]) * ((1 - similarity) / (1 + similarity)) + 1e-9
+            return out
 
         return near
 
@@ -461,7 +463,8 @@ def prefix_keys(items: DataFrame, keep=materialise) -> DataFrame:
     stands for all: they are told by sums over the texts, not by lists. Few
     shingles of prefixes are shared: the others go before any of this.
     """
-    spread = items.select("id", F.explode("prefix").alias("value")).repartition("value")  # one shuffle for both uses
+    # the filters make both uses alike in the eyes of the optimiser, so one shuffle serves them
+    spread = items.where("id is not null").select("id", F.explode("prefix").alias("value")).where("value is not null").repartition("value")
     seen = spread.groupBy("value").agg(F.min("id").alias("low"), F.max("id").alias("high"))
     member = keep(spread.join(seen.where("low < high").select("value"), "value"))
     lists = member.groupBy("value").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.bit_xor(F.xxhash64("id")).alias("mixed"), F.count(F.lit(1)).alias("c"))
@@ -628,9 +631,9 @@ def checked_pairs(space: Workspace, unique: DataFrame, items: DataFrame, near, s
     """
 
     def every(held: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
-        of, n = near(held), len(held)
-        found = [np.nonzero(np.triu(of(at, min(at + 256, n)), at + 1)) for at in range(0, n, 256)]
-        return np.concatenate([a + at for (a, _), at in zip(found, range(0, n, 256), strict=True)]), np.concatenate([b for _, b in found])
+        of, order = near(held), np.arange(len(held))
+        found = [i + 1 + np.nonzero(of(i, order[i + 1 :]))[0] for i in order]
+        return np.repeat(order, [len(f) for f in found]), np.concatenate(found)
 
     keys = space.keep(prefix_keys(items, space.keep))
     parts = F.ceil(F.col("c") / BUCKET).cast("long")

@@ -32,10 +32,30 @@ def test_stages_keep_the_columns_and_clean_documents(spark, sf_dir):
         assert g.offset.tolist() == [0, *np.cumsum(g.length).tolist()[:-1]]
 
 
+def test_each_row_is_judged_by_its_own_text(spark, sf_dir, documents):
+    """Rows that share a doc_id, or have none, are judged apart; a column named like one of the stage's own is kept."""
+    own = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    scores = {r["doc_id"]: r["predicted"] for r in QUERIES["op3_quality_classifier"](spark, sf_dir).collect()}
+    texts = {r["doc_id"]: r["text"] for r in own.collect()}
+    good, bad = next(texts[i] for i in texts if scores[i] == 1), next(texts[i] for i in texts if scores[i] == 0)
+    clash = documents([(-1, good, "s"), (-1, bad, "s"), (None, good, "s"), (None, bad, "s")]).withColumn("rejected", pipeline.quality.F.lit(1))
+    out = pipeline.drop_low_quality(spark, own.select("doc_id", "text").unionByName(clash, allowMissingColumns=True), sf_dir)
+    kept = [(r["doc_id"], r["text"]) for r in out.where("rejected = 1").collect()]
+    assert sorted(kept, key=str) == sorted([(-1, good), (None, good)], key=str) and "rejected" in out.columns
+
+
 def test_stages_survive_odd_documents(spark, sf_dir, documents, odd_rows):
-    for _, stage in pipeline.STAGES:
+    for name, stage in pipeline.STAGES:
         out = stage(spark, documents(odd_rows), sf_dir)
-        assert out.count() >= 0
+        rows = [r["doc_id"] for r in out.collect()]
+        if name != pipeline.STAGES[-1][0]:
+            assert out.columns == documents([]).columns
+        if name == "simhash_near_dedup":
+            assert len(rows) == 6  # two texts of six words or more, those of one word, none, and the row without an id
+        if name == "secret_scans":
+            assert len(rows) == len(odd_rows)
+        if name == "best_fit_packing":
+            assert len({(r["doc_id"], r["piece"], r["sequence_id"], r["offset"]) for r in out.collect()}) == len(rows) >= len(odd_rows)
         assert stage(spark, documents([]), sf_dir).count() == 0
 
 
