@@ -17,6 +17,8 @@ STREAM = ("recording_id", "sensor")
 HOUR = 3_600_000_000
 #: Width of a time bucket.
 BUCKET_US = 24 * HOUR
+#: Steps of a sample that are exploded at once.
+STEPS = 4096
 
 
 def bounds(samples: DataFrame, trim: bool = False) -> DataFrame:
@@ -88,6 +90,44 @@ def asof(samples: DataFrame, grid: DataFrame, direction: str = "backward", bucke
     return met.select(*STREAM, "step", F.col("at").alias("grid_us"), F.col("p.ts_us").alias("src_us"), F.col("p.value").alias("value"))
 
 
+def periodic(samples: DataFrame, clock: DataFrame, period_us: int, direction: str = "backward", bucket_us: int = BUCKET_US) -> DataFrame:
+    """What ``asof`` gives for every step and sensor of a periodic clock, without rows for steps before the end.
+
+    A sample serves the steps up to the next one of its stream, so the samples
+    alone are dealt out and sorted, and each is then repeated in place. A row
+    is exploded by blocks of steps, so that no array grows with a silence.
+    """
+    if direction not in ("backward", "nearest"):
+        raise ValueError(f"unknown direction {direction!r}")
+    if period_us <= 0:
+        raise ValueError("the period must be positive")
+    s = samples.where("recording_id is not null and sensor is not null").select(*STREAM, F.floor(F.col("ts_us") / bucket_us).alias("bucket"), F.struct("ts_us", "value").alias("s"))
+    timed = s.where("bucket is not null")
+    of = clock.where("start_us <= end_us").select("recording_id", "start_us", "end_us")
+    ends = timed.groupBy(*STREAM, "bucket").agg(F.min("s").alias("first"))
+    after = F.lead("first").over(Window.partitionBy(*STREAM).orderBy("bucket")).alias("after")
+    carried = ends.join(of, "recording_id").select(*STREAM, "bucket", "start_us", "end_us", after)
+    # of samples at one instant all but the last, the greatest, serve no step
+    following = F.lead("s").over(Window.partitionBy(*STREAM, "bucket").orderBy("s")).alias("following")
+    own = timed.select("*", following).join(carried, [*STREAM, "bucket"]).select(*STREAM, "start_us", "end_us", F.col("s").alias("back"), F.coalesce("following", "after").alias("ahead"))
+    # steps before a stream's first sample; of a stream without a time, all
+    leading = s.groupBy(*STREAM).agg(F.min(F.when(F.col("bucket").isNotNull(), F.col("s"))).alias("ahead")).join(of, "recording_id")
+    leading = leading.select(*STREAM, "start_us", "end_us", F.lit(None).cast(s.schema["s"].dataType).alias("back"), "ahead")
+    from_step = lambda c: F.ceil((F.col(c)["ts_us"] - F.col("start_us")) / period_us)
+    low = F.greatest(F.coalesce(from_step("back"), F.lit(0)), F.lit(0)).cast("long")
+    final = F.floor((F.col("end_us") - F.col("start_us")) / period_us)
+    high = F.least(F.coalesce(from_step("ahead") - 1, final), final).cast("long")
+    rows = own.unionByName(leading).select("*", low.alias("low"), high.alias("high")).where("low <= high")
+    rows = rows.withColumn("block", F.explode(F.sequence("low", "high", F.lit(STEPS))))
+    rows = rows.withColumn("step", F.explode(F.sequence("block", F.least(F.col("block") + (STEPS - 1), F.col("high")))))
+    rows = rows.withColumn("grid_us", F.col("start_us") + F.col("step") * period_us)
+    picked = F.col("back")
+    if direction == "nearest":
+        closer = (F.col("ahead.ts_us") - F.col("grid_us") < F.col("grid_us") - F.col("back.ts_us")) | F.col("back").isNull()
+        picked = F.when(F.col("ahead").isNotNull() & closer, F.col("ahead")).otherwise(F.col("back"))
+    return rows.select(*STREAM, "step", "grid_us", picked["ts_us"].alias("src_us"), picked["value"].alias("value"))
+
+
 def within_delay(synced: DataFrame, max_delay_us: int) -> DataFrame:
     """Nulls what is further from its step than ``max_delay_us``."""
     ok = F.abs(F.col("grid_us") - F.col("src_us")) <= max_delay_us
@@ -147,10 +187,13 @@ def synchronise(
     if no_movement_threshold is not None:
         samples = moved_from_start(samples, no_movement_threshold)
     clock = bounds(samples, trim_start_end)
-    grid = periodic_grid(clock, period_us) if period_us else aperiodic_grid(samples)
-    if trim_start_end and not period_us:
-        grid = grid.join(clock, "recording_id").where("grid_us between start_us and end_us").drop("start_us", "end_us")
-    out = asof(samples, for_each_sensor(grid, samples), direction)
+    if period_us:
+        out = periodic(samples, clock, period_us, direction)
+    else:
+        grid = aperiodic_grid(samples)
+        if trim_start_end:
+            grid = grid.join(clock, "recording_id").where("grid_us between start_us and end_us").drop("start_us", "end_us")
+        out = asof(samples, for_each_sensor(grid, samples), direction)
     checks: list[tuple[Column, str]] = []
     if max_delay_us is not None:
         checks.append((F.abs(F.col("grid_us") - F.col("src_us")) > max_delay_us, "not within max delta"))

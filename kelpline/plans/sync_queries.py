@@ -23,14 +23,14 @@ synced AS (SELECT c.recording_id, c.sensor, c.step, c.grid_us, s.ts_us AS src_us
 _OPEN, _TRIMMED = _grid("min(f)", "max(l)"), _grid("max(f)", "min(l)")
 
 
-def _cells(spark, sf_dir, trim=False):
+def _synced(spark, sf_dir, trim=False, direction="backward"):
     s = samples(spark, sf_dir)
-    return s, sync.for_each_sensor(sync.periodic_grid(sync.bounds(s, trim), PERIOD), s)
+    return sync.periodic(s, sync.bounds(s, trim), PERIOD, direction)
 
 
 @query("sync_asof_backward", f"WITH {_OPEN} SELECT * FROM synced")
 def sync_asof_backward(spark, sf_dir):
-    return sync.asof(*_cells(spark, sf_dir))
+    return _synced(spark, sf_dir)
 
 
 @query(
@@ -44,7 +44,7 @@ SELECT b.recording_id, b.sensor, b.step, b.grid_us,
 FROM synced b JOIN ahead a ON a.recording_id = b.recording_id AND a.sensor = b.sensor AND a.step = b.step""",
 )
 def sync_asof_nearest(spark, sf_dir):
-    return sync.asof(*_cells(spark, sf_dir), direction="nearest")
+    return _synced(spark, sf_dir, direction="nearest")
 
 
 @query(
@@ -53,7 +53,7 @@ def sync_asof_nearest(spark, sf_dir):
        CASE WHEN grid_us - src_us <= {24 * sync.HOUR} THEN value END AS value FROM synced""",
 )
 def sync_max_delay(spark, sf_dir):
-    return sync.within_delay(sync.asof(*_cells(spark, sf_dir)), 24 * sync.HOUR)
+    return sync.within_delay(_synced(spark, sf_dir), 24 * sync.HOUR)
 
 
 @query(
@@ -62,12 +62,12 @@ def sync_max_delay(spark, sf_dir):
 QUALIFY row_number() OVER (PARTITION BY recording_id, sensor, src_us ORDER BY step) = 1""",
 )
 def sync_no_duplicates(spark, sf_dir):
-    return sync.without_duplicates(sync.asof(*_cells(spark, sf_dir)))
+    return sync.without_duplicates(_synced(spark, sf_dir))
 
 
 @query("sync_trim_start_end", f"WITH {_TRIMMED} SELECT * FROM synced")
 def sync_trim_start_end(spark, sf_dir):
-    return sync.asof(*_cells(spark, sf_dir, trim=True))
+    return _synced(spark, sf_dir, trim=True)
 
 
 @query(
@@ -90,7 +90,7 @@ SELECT recording_id, CASE WHEN bool_or(coalesce(grid_us - src_us > {120 * sync.H
        WHEN bool_or(n > 1) THEN 'too sparse' END AS failure FROM uses GROUP BY recording_id""",
 )
 def sync_failure_report(spark, sf_dir):
-    return sync.failures(sync.asof(*_cells(spark, sf_dir, trim=True)), 120 * sync.HOUR, allow_duplicates=False)
+    return sync.failures(_synced(spark, sf_dir, trim=True), 120 * sync.HOUR, allow_duplicates=False)
 
 
 @query(
@@ -109,5 +109,5 @@ def trim_no_movement(spark, sf_dir):
        max(value) FILTER (sensor = 'purchase') AS purchase FROM synced GROUP BY recording_id, step, grid_us""",
 )
 def sync_wide(spark, sf_dir):
-    synced = sync.asof(*_cells(spark, sf_dir))
+    synced = _synced(spark, sf_dir)
     return synced.groupBy("recording_id", "step", "grid_us").pivot("sensor", ["view", "click", "purchase"]).agg(F.max("value"))

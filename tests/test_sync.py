@@ -1,6 +1,7 @@
 import pytest
 
 from kelpline.operators import sync
+from kelpline.plans import catalogue
 
 S = "recording_id long, sensor string, ts_us long, value double"
 G = "recording_id long, sensor string, step long, grid_us long"
@@ -68,3 +69,27 @@ def test_no_movement(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], S)
     assert sync.synchronise(none, 1000).count() == 0 and sync.synchronise(none, None).count() == 0
+
+
+@pytest.mark.parametrize("bucket", [1 << 50, 10, 3])
+@pytest.mark.parametrize("direction", ["backward", "nearest"])
+@pytest.mark.parametrize("trim", [False, True])
+def test_periodic_is_asof_of_its_cells(spark, monkeypatch, bucket, direction, trim):
+    monkeypatch.setattr(sync, "STEPS", 4)
+    samples = [(1, "a", t, float(v)) for t, v in ((0, 1), (7, 2), (7, 3), (20, 4), (90, 5))] + [(1, "b", 15, None), (1, "b", 2, 9.0), (1, "b", 40, 1.0), (1, "c", None, 1.0), (2, "a", 5, 0.5), (2, "b", -9, 1.5)]
+    s = spark.createDataFrame(samples, S)
+    clock = sync.bounds(s, trim)
+    want = sync.asof(s, sync.for_each_sensor(sync.periodic_grid(clock, 3), s), direction, bucket)
+    key = lambda df: sorted((tuple(r) for r in df.where("sensor <> 'c'").collect()), key=str)
+    got = sync.periodic(s, clock, 3, direction, bucket)
+    assert key(got) == key(want)
+    timeless = [(r["src_us"], r["value"]) for r in got.where("sensor = 'c'").collect()]
+    assert timeless == [(None, None)] * want.where("sensor = 'c'").count()
+
+
+@pytest.mark.parametrize(("name", "shuffles"), [("sync_asof_nearest", 0)])
+def test_cells_are_made_after_the_shuffles(spark, sf_dir, name, shuffles):
+    """A step of every sensor is many times the samples: it is not dealt out, sorted and joined, and summed up once at most."""
+    plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Generate")]
+    assert above.count("Exchange") <= shuffles and "Window" not in above and "Join" not in above
