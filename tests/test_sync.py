@@ -87,7 +87,7 @@ def test_periodic_is_asof_of_its_cells(spark, monkeypatch, bucket, direction, tr
     assert timeless == [(None, None)] * want.where("sensor = 'c'").count()
 
 
-@pytest.mark.parametrize(("name", "shuffles"), [("sync_asof_nearest", 0)])
+@pytest.mark.parametrize(("name", "shuffles"), [("sync_asof_nearest", 0), ("sync_max_delay", 0)])
 def test_cells_are_made_after_the_shuffles(spark, sf_dir, name, shuffles):
     """A step of every sensor is many times the samples: it is not dealt out, sorted and joined, and summed up once at most."""
     plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
