@@ -136,8 +136,10 @@ def within_delay(synced: DataFrame, max_delay_us: int) -> DataFrame:
 
 def without_duplicates(synced: DataFrame) -> DataFrame:
     """Keeps a sample at the first step that it serves only."""
-    first = F.row_number().over(Window.partitionBy(*STREAM, "src_us").orderBy("step"))
-    return synced.where("src_us is not null").withColumn("nth", first).where("nth = 1").drop("nth")
+    kept = [c for c in synced.columns if c not in (*STREAM, "src_us", "step")]
+    # sums up before rows are dealt out: the steps of a sample stand together
+    first = synced.where("src_us is not null").groupBy(*STREAM, "src_us").agg(F.min("step").alias("step"), *(F.min_by(c, "step").alias(c) for c in kept))
+    return first.select(*synced.columns)
 
 
 def failures(synced: DataFrame, max_delay_us: int, allow_duplicates: bool) -> DataFrame:

@@ -87,7 +87,13 @@ def test_periodic_is_asof_of_its_cells(spark, monkeypatch, bucket, direction, tr
     assert timeless == [(None, None)] * want.where("sensor = 'c'").count()
 
 
-@pytest.mark.parametrize(("name", "shuffles"), [("sync_asof_nearest", 0), ("sync_max_delay", 0)])
+def test_steps_of_a_first_use_only(spark):
+    rows_ = [(1, "a", k, 10 * k, src, v) for k, src, v in ((0, None, None), (1, 5, 1.0), (2, 5, 1.0), (3, 28, None), (4, 28, None), (5, 50, 2.0))]
+    df = spark.createDataFrame(rows_, G + ", src_us long, value double")
+    assert rows(sync.without_duplicates(df)) == [rows_[1], rows_[3], rows_[5]]
+
+
+@pytest.mark.parametrize(("name", "shuffles"), [("sync_asof_nearest", 0), ("sync_max_delay", 0), ("sync_no_duplicates", 1)])
 def test_cells_are_made_after_the_shuffles(spark, sf_dir, name, shuffles):
     """A step of every sensor is many times the samples: it is not dealt out, sorted and joined, and summed up once at most."""
     plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
