@@ -52,7 +52,7 @@ class SyncedDataset:
 
     def wide(self, sensors: list[str]) -> DataFrame:
         """A row a step with a column a sensor."""
-        return self.rows.groupBy("recording_id", "step", "grid_us").pivot("sensor", sensors).agg(F.max("value"))
+        return sync.wide(self.rows, sensors)
 
     def step(self, index: int) -> DataFrame:
         """One step of each recording and sensor, counted from the end if negative."""

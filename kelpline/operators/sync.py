@@ -128,6 +128,12 @@ def periodic(samples: DataFrame, clock: DataFrame, period_us: int, direction: st
     return rows.select(*STREAM, "step", "grid_us", picked["ts_us"].alias("src_us"), picked["value"].alias("value"))
 
 
+def wide(synced: DataFrame, sensors: list[str]) -> DataFrame:
+    """A row a step with a column a sensor; steps of other sensors too, in one shuffle of the rows."""
+    columns = [F.max(F.when(F.col("sensor") == x, F.col("value"))).alias(x) for x in sensors]
+    return synced.groupBy("recording_id", "step", "grid_us").agg(*columns)
+
+
 def within_delay(synced: DataFrame, max_delay_us: int) -> DataFrame:
     """Nulls what is further from its step than ``max_delay_us``."""
     ok = F.abs(F.col("grid_us") - F.col("src_us")) <= max_delay_us

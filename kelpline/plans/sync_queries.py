@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from kelpline.operators import sync
 from kelpline.plans.registry import SAMPLES_SQL, query, samples
 
@@ -109,5 +107,4 @@ def trim_no_movement(spark, sf_dir):
        max(value) FILTER (sensor = 'purchase') AS purchase FROM synced GROUP BY recording_id, step, grid_us""",
 )
 def sync_wide(spark, sf_dir):
-    synced = _synced(spark, sf_dir)
-    return synced.groupBy("recording_id", "step", "grid_us").pivot("sensor", ["view", "click", "purchase"]).agg(F.max("value"))
+    return sync.wide(_synced(spark, sf_dir), ["view", "click", "purchase"])

@@ -93,7 +93,7 @@ def test_steps_of_a_first_use_only(spark):
     assert rows(sync.without_duplicates(df)) == [rows_[1], rows_[3], rows_[5]]
 
 
-@pytest.mark.parametrize(("name", "shuffles"), [("sync_asof_nearest", 0), ("sync_max_delay", 0), ("sync_no_duplicates", 1)])
+@pytest.mark.parametrize(("name", "shuffles"), [("sync_asof_nearest", 0), ("sync_max_delay", 0), ("sync_no_duplicates", 1), ("sync_wide", 1)])
 def test_cells_are_made_after_the_shuffles(spark, sf_dir, name, shuffles):
     """A step of every sensor is many times the samples: it is not dealt out, sorted and joined, and summed up once at most."""
     plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
