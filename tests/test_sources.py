@@ -88,6 +88,24 @@ def test_holdback_and_cancel():
     assert s.windows == [] and s.release(None) == []
 
 
+def _routed(batches, holdback):
+    s, out = router.Source([], [], 0), []
+    for k, batch in enumerate(batches):
+        for kind, ts, item in batch:
+            s.offer(kind, ts, item)
+        until = None if k == len(batches) - 1 else s.newest - holdback
+        s.advance(until)
+        out += s.release(until)
+    return sorted(out)
+
+
+def test_starts_and_stops_in_another_batch_count_in_order():
+    start_late = [[("start", 0, 1), ("data", 5, 11), ("start", 100, 3)], [("start", 50, 2), ("data", 60, 12), ("data", 120, 13)]]
+    assert _routed(start_late, 200) == [(11, 5, 1), (12, 60, 2), (13, 120, 3)]
+    stop_late = [[("start", 0, 1), ("start", 100, 2), ("data", 110, 12)], [("stop", 50, 1), ("data", 70, 11)]]
+    assert _routed(stop_late, 200) == [(11, 70, None), (12, 110, 2)]
+
+
 def test_upsert_is_idempotent(spark):
     t = tables.UpsertTable(spark, "k", ["at"])
     batch = lambda *rows: spark.createDataFrame(rows, "k string, at long, v long")
