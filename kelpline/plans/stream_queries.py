@@ -37,10 +37,12 @@ def stream_route(spark, sf_dir):
     moved = stops.withColumn("ts", F.col("ts") + 2 * hour)
     log = kind(e, "data").unionByName(kind(starts, "start")).unionByName(kind(moved, "stop")).withColumn("part", part)
     root = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    log.write.partitionBy("part").parquet(f"{root}-parts")
+    log = spark.read.schema(log.schema).parquet(f"{root}-parts")
     schema = "source long, kind string, ts long, item long"
     for k in range(4):  # one file a batch, in this order
-        log.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(root)
-    e.select("source").distinct().select("source", F.lit("flush").alias("kind"), F.lit(high).alias("ts"), F.lit(-1).cast("long").alias("item")).coalesce(1).write.mode("append").parquet(root)
+        log.where(F.col("part") == k).drop("part").repartition(1).write.mode("append").parquet(root)
+    e.select("source").distinct().select("source", F.lit("flush").alias("kind"), F.lit(high).alias("ts"), F.lit(-1).cast("long").alias("item")).repartition(1).write.mode("append").parquet(root)
     return tables.drained(router.route_stream(tables.replay(spark, root, schema, 1), holdback_us=2 * hour, retention_us=8 * hour))
 
 

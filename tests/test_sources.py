@@ -1,4 +1,5 @@
 import struct
+import time
 import zlib
 
 import pytest
@@ -106,6 +107,17 @@ def test_starts_and_stops_in_another_batch_count_in_order():
     assert _routed(stop_late, 200) == [(11, 70, None), (12, 110, 2)]
 
 
+def test_many_windows_and_samples():
+    s, n = router.Source([], [], 0), 30_000
+    for k in range(n):
+        s.take("start", 10 * k, k)
+        s.take("stop", 10 * k + 7, k)
+        s.take("data", 10 * k + 3 + 5 * (k % 2), k)
+    began = time.process_time()
+    assert [w for _, _, w in s.release(None)] == [None if k % 2 else k for k in range(n)]
+    assert time.process_time() - began < 10
+
+
 def test_upsert_is_idempotent(spark):
     t = tables.UpsertTable(spark, "k", ["at"])
     batch = lambda *rows: spark.createDataFrame(rows, "k string, at long, v long")
