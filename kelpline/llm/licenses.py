@@ -1,16 +1,19 @@
 """Licence scans: a trained paragraph classifier, confirmed by template comparison.
 
 Paragraphs (sentences, in runs of words where they are long) with a word of
-licensing are classified by logistic regression on sparse word n-grams; a
-probability under a calibrated threshold, or a family whose templates share too
-few word triples with the paragraph, is unknown. All of it is DataFrame
-operations; the regression runs in the JVM.
+licensing, or with words that some template has in a row, are classified by
+logistic regression on sparse word n-grams; a probability under a calibrated
+threshold, or a family whose templates share too few word triples with the
+paragraph, is unknown. So a paragraph that shares none is unknown without
+being classified. All of it is DataFrame operations; the regression runs in
+the JVM.
 """
 
 from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from kelpline.llm.common import materialise
 
-#: A paragraph is read if it holds one of these.
+#: A paragraph that holds one of these gets a row whatever it is found to be.
 CUES = r"(?i)licen[cs]|copyright|copyleft|spdx|warrant[iy]|redistribut|permission is|all rights reserved|public domain|creative commons|\bcc[ -]by|\bcc0\b|\b[al]?gpl\b|\(c\) (19|20)[0-9]{2}|©|permission to use|hereby granted|under the terms of|subject to the terms|common development and distribution|released under|prior written|written permission|unauthori[sz]ed copying|strictly prohibited|part of this publication|source code (form|is governed)|free and unencumbered|free to copy|be liable|provided as is|as is basis|applicable law|to deal in the software|must not be misrepresented"
 #: Notices by which a licence family is known.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -93,6 +96,8 @@ OTHERS = (
 )
 PROSE = "the a of and to in is that was for on with as by at from this it were had not but one all more when there time".split()
 UNKNOWN = "unknown"
+#: What may stand between two tokens.
+GAP = "[^a-z0-9]++"
 SIZE = 1 << 13
 
 
@@ -191,8 +196,29 @@ def _trained(app: str) -> Classifier:
     return train(SparkSession.active())
 
 
-def paragraphs(docs: DataFrame, longest: int = 48) -> DataFrame:
-    """doc_id, paragraph_index and paragraph of paragraphs with a cue, from whole texts.
+def _branches(phrases: set[str]) -> str:
+    """A regular expression for the phrases that tries each leading character once."""
+    by: dict[str, set[str]] = {}
+    for p in phrases:
+        if p:
+            by.setdefault(p[0], set()).add(p[1:])
+    own = []
+    for c in sorted(by):
+        rest = set() if "" in by[c] else by[c]  # a phrase that has ended settles all that begin with it
+        own.append((GAP if c == " " else re.escape(c)) + (_branches(rest) if rest else ""))
+    return own[0] if len(own) == 1 else f"(?:{'|'.join(own)})"
+
+
+def shared_words(notices: dict[str, list[list[str]]]) -> str:
+    """A regular expression that lower-case text matches if it holds a word triple of any notice.
+
+    It may match other text too, as it does not see where tokens with dots end.
+    """
+    return "(?<![a-z0-9])" + _branches({t for own in notices.values() for n in own for t in n})
+
+
+def paragraphs(docs: DataFrame, longest: int = 48, shared: str | None = None) -> DataFrame:
+    """doc_id, paragraph_index, run_index, paragraph and cue of paragraphs with a cue or words that ``shared`` matches, from whole texts.
 
     Paragraphs are the sentences of each line. Of a sentence of more than
     ``longest`` words they are its runs of so many words, each of which begins
@@ -204,15 +230,18 @@ def paragraphs(docs: DataFrame, longest: int = 48) -> DataFrame:
     half, words = longest // 2, F.col("words")
     starts = F.sequence(F.lit(1), F.greatest(F.size(words) - half, F.lit(1)), F.lit(half))
     runs = F.when(F.size(words) > longest, F.transform(starts, lambda i: F.array_join(F.slice(words, i, longest), " "))).otherwise(F.array(F.col("whole")))
-    held = docs.where(F.col("text").rlike(CUES)).select("doc_id", F.posexplode(sentences).alias("sentence", "whole")).where(F.col("whole").rlike(CUES))
+    cue = lambda c: F.col(c).rlike(CUES)
+    read = lambda c: cue(c) | F.lower(c).rlike(shared) if shared else cue(c)
+    held = docs.where(read("text")).select("doc_id", F.posexplode(sentences).alias("sentence", "whole")).where(read("whole"))
     held = held.withColumn("words", F.split(F.trim("whole"), r"\s+"))
     out = held.select("doc_id", "sentence", F.posexplode(runs).alias("run", "paragraph"))
-    return out.where(F.col("paragraph").rlike(CUES)).select("doc_id", F.col("sentence").alias("paragraph_index"), F.col("run").alias("run_index"), "paragraph")
+    return out.where(read("paragraph")).select("doc_id", F.col("sentence").alias("paragraph_index"), F.col("run").alias("run_index"), "paragraph", cue("paragraph").alias("cue"))
 
 
 def scan(docs: DataFrame, classifier: Classifier | None = None, overlap: float = 0.4, contained: float = 0.5) -> DataFrame:
-    """A row per paragraph with a cue: doc_id, paragraph_index, run_index, family, probability, overlap.
+    """doc_id, paragraph_index, run_index, family, probability, overlap: a row per paragraph with a cue or a licence.
 
+    A paragraph without a cue is judged alike; it has no row if it is unknown.
     ``paragraph_index`` counts sentences, ``run_index`` the runs of a long one.
     ``family`` is ``unknown`` where the regression says so, where its
     probability lies under the calibrated threshold, or where under ``overlap``
@@ -226,10 +255,10 @@ def scan(docs: DataFrame, classifier: Classifier | None = None, overlap: float =
     c = classifier or _trained(docs.sparkSession.sparkContext.applicationId)
     each = c.notices
     triples = {f: [t for notice in own for t in notice] for f, own in each.items()}
-    out = c.model.transform(featured(paragraphs(docs)))
+    out = c.model.transform(featured(paragraphs(docs, shared=shared_words(each))))
     p = vector_to_array("probability")
     family = F.element_at(F.array(*map(F.lit, c.families)), F.col("prediction").cast("int") + 1)
-    out = out.select("doc_id", "paragraph_index", "run_index", family.alias("said"), F.round(F.array_max(p), 6).alias("probability"), triples_of(F.col("words")).alias("triples"), grams(F.col("words"), 2).alias("pairs"))
+    out = out.select("doc_id", "paragraph_index", "run_index", "cue", family.alias("said"), F.round(F.array_max(p), 6).alias("probability"), triples_of(F.col("words")).alias("triples"), grams(F.col("words"), 2).alias("pairs"))
     known = F.create_map(*[x for f in sorted(triples) for x in (F.lit(f), F.array(*map(F.lit, sorted(set(triples[f])))))])
     same = F.size(F.array_intersect("triples", F.coalesce(F.element_at(known, F.col("said")), F.array().cast("array<string>"))))
     share = F.when(F.size("triples") > 0, same / F.size(F.array_distinct("triples"))).otherwise(F.lit(0.0))
@@ -239,4 +268,5 @@ def scan(docs: DataFrame, classifier: Classifier | None = None, overlap: float =
     covered = F.exists(F.element_at(held, F.col("said")), lambda n: F.size(F.array_intersect(n, F.concat("triples", "pairs"))) > contained * F.size(n))
     like = (F.col("overlap") >= overlap) | F.coalesce(covered, F.lit(False))
     sure = (F.col("said") != UNKNOWN) & (F.col("probability") >= c.threshold) & like
-    return out.select("doc_id", "paragraph_index", "run_index", F.when(sure, F.col("said")).otherwise(F.lit(UNKNOWN)).alias("family"), "probability", "overlap")
+    out = out.select("doc_id", "paragraph_index", "run_index", F.when(sure, F.col("said")).otherwise(F.lit(UNKNOWN)).alias("family"), "probability", "overlap", "cue")
+    return out.where(F.col("cue") | (F.col("family") != UNKNOWN)).drop("cue")

@@ -67,6 +67,27 @@ def test_lines_without_the_usual_words(documents, classifier):
     assert families(documents, texts, classifier) == {(0, 0): "ISC", (0, 1): "ISC", (1, 0): "Proprietary", (2, 0): "Proprietary"}
 
 
+def test_notices_without_a_cue(documents, classifier):
+    """Lines of wrapped licence texts that hold none of the cues."""
+    texts = [
+        "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE", "direct, indirect, incidental, special, exemplary, or consequential damages, however caused and on any theory",
+        "They signed the contract in the morning. Then all of them went home, for any purpose or none.",
+    ]
+    assert not [t for t in texts if re.search(licenses.CUES, t)]
+    assert families(documents, texts, classifier) == {(0, 0): "MIT", (1, 0): "BSD"}
+
+
+def test_what_shares_no_words_with_a_notice_is_unknown(spark, documents, sf_dir, classifier):
+    """Whole paragraphs, without the filter, give the licences that the scan gives."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    filtered = {tuple(r)[:4] for r in licenses.scan(docs, classifier).where("family <> 'unknown'").collect()}
+    monkey = pytest.MonkeyPatch()
+    monkey.setattr(licenses, "shared_words", lambda each: "(?s).*")
+    every = {tuple(r)[:4] for r in licenses.scan(docs, classifier).where("family <> 'unknown'").collect()}
+    monkey.undo()
+    assert filtered == every and every
+
+
 @pytest.mark.parametrize("words", [0, 5, 30, 40, 46, 47, 48, 60, 100, 400, 5000])
 def test_a_notice_is_found_among_any_number_of_words(documents, classifier, words):
     notice = licenses.TEMPLATES["MIT"][3].rstrip(".")
