@@ -36,8 +36,8 @@ TEXT_BYTES = 16 << 20
 FILE_ROWS = 250_000
 #: Texts sampled for the order of shingles, and the common ones kept; both change the number of candidates only.
 SAMPLE, COMMON = 8192, 1 << 16
-#: Bits of a text's parities.
-PARITY = 1024
+#: Bits of a text's parities: at least, and at most (longer texts still meet, but more of their pairs are checked).
+PARITY, PARITY_MOST = 1024, 1 << 14
 #: What a shuffled row costs, in comparisons of two fingerprints.
 ROW_COST = 500
 _CHUNK = 1 << 15
@@ -431,16 +431,37 @@ def fingerprint_near(distance: int, other_distance: int):
 
 
 def parity_near(similarity: float):
-    """Nearness of (id, n, bits) items: whether sizes and parities allow the similarity."""
+    """Nearness of (id, n, bits) items: whether sizes and parities allow the similarity.
+
+    Parities of two widths are compared at the narrower: halves of the wider
+    are folded onto each other.
+    """
 
     def of(items: pa.StructArray):
         n = items.field(1).to_numpy()
-        bits = np.frombuffer(b"".join(items.field(2).to_pylist()), dtype=np.uint64).reshape(len(n), -1)
+        held = items.field(2).to_pylist()
+        width = np.array([len(b) for b in held])
+        folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # of a width: a row for each item as wide, and its place
+        above, rows = np.zeros(0, dtype=np.int64), np.zeros((0, 0), dtype=np.uint64)
+        for w in np.unique(width)[::-1].tolist():
+            while len(above) and rows.shape[1] * 8 > w:
+                half = rows.shape[1] // 2
+                rows = rows[:, :half] ^ rows[:, half:]
+            own = np.nonzero(width == w)[0]
+            new = np.frombuffer(b"".join(held[k] for k in own), dtype=np.uint64).reshape(len(own), -1)
+            above, rows = np.concatenate([above, own]), np.concatenate([rows, new]) if len(above) else new
+            place = np.zeros(len(n), dtype=np.int64)
+            place[above] = np.arange(len(above))
+            folded[w] = rows, place
 
         def near(i: int, others: np.ndarray) -> np.ndarray:
             out = np.minimum(n[others], n[i]) >= similarity * np.maximum(n[others], n[i]) - 1e-9
             fit = others[out]
-            apart = np.bitwise_count(bits[fit] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            apart, common = np.zeros(len(fit), dtype=np.int64), np.minimum(width[fit], width[i])
+            for w, (bits, place) in folded.items():
+                at = np.nonzero(common == w)[0]
+                if len(at):
+                    apart[at] = np.bitwise_count(bits[place[fit[at]]] ^ bits[place[i]]).sum(axis=1, dtype=np.int64)
             out[out] = apart <= (n[fit] + n[i]) * ((1 - similarity) / (1 + similarity)) + 1e-9
             return out
 
@@ -557,11 +578,14 @@ def prefix_of(shingles: np.ndarray, similarity: float, common: np.ndarray, count
 
 
 def parities(shingles: np.ndarray) -> bytes:
-    """PARITY bits: for each, whether an odd number of shingles falls on it.
+    """Bits: for each, whether an odd number of shingles falls on it.
 
-    Two sets differ in at least as many shingles as these differ in bits.
+    Two sets differ in at least as many shingles as these differ in bits. The
+    width, a power of 2, grows with the set: of many more shingles than bits,
+    half of the bits differ, which rules out no long texts.
     """
-    odd = np.bincount(shingles.view(np.uint64) % np.uint64(PARITY), minlength=PARITY) & 1
+    width = min(max(PARITY, 1 << (len(shingles) - 1).bit_length()), PARITY_MOST)
+    odd = np.bincount(shingles.view(np.uint64) % np.uint64(width), minlength=width) & 1
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
 
@@ -641,7 +665,8 @@ def checked_pairs(space: Workspace, unique: DataFrame, items: DataFrame, near, s
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("met"))
     met = dealt.groupBy("tag", "value", F.least("mine", "met").alias("one"), F.greatest("mine", "met").alias("two")).agg(F.collect_list("item").alias("own")).select("own")
     pairs = space.keep(_each_bucket(met, every))
-    texts = unique.select(F.xxhash64("key").alias("id"), F.col("row.text").cast("string").alias("text"))
+    # of these items alone: the table of all texts stays where it is
+    texts = unique.select("key", F.col("row.text").cast("string").alias("text")).join(items.select("key", "id").hint("shuffle_hash"), "key").select("id", "text")
     of = lambda side: texts.select(F.col("id").alias(side), F.col("text").alias(f"{side}_text"))
     whole = pairs.join(of("a"), "a").join(of("b"), "b")
 

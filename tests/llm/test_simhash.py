@@ -184,6 +184,28 @@ def test_prefix_links_span_every_pair(spark, documents, monkeypatch, bucket):
     space.drop()
 
 
+@pytest.mark.parametrize("limits", [{}, {"PARITY": 64}])
+def test_parities_tell_long_texts_apart(monkeypatch, limits):
+    """Texts of many more shingles than bits were all near: every pair of long texts with a common shingle was checked."""
+    import pyarrow as pa
+
+    for name, value in limits.items():
+        monkeypatch.setattr(simhash, name, value)
+    rng = np.random.default_rng(7)
+    sets = []
+    for n in (40, 900, 1020, 1100, 2100, 2500, 4000, 9000, 30_000):
+        base = np.unique(rng.integers(-(1 << 62), 1 << 62, n))
+        sets += [base, base[: int(0.81 * n)], np.unique(np.concatenate([base[: int(0.92 * n)], rng.integers(-(1 << 62), 1 << 62, n // 10)]))]
+    sets.append(np.concatenate([sets[-3][:100], np.unique(rng.integers(1 << 62, (1 << 63) - 1, 29_000))]))
+    items = pa.StructArray.from_arrays([pa.array(range(len(sets))), pa.array([len(x) for x in sets]), pa.array([simhash.parities(x) for x in sets], pa.binary())], names=["id", "n", "bits"])
+    near, every = simhash.parity_near(0.8)(items), np.arange(len(sets))
+    for i in every:
+        same = np.array([len(np.intersect1d(x, sets[i])) for x in sets])
+        alike = same / (np.array([len(x) for x in sets]) + len(sets[i]) - same)
+        found = near(i, every)
+        assert found[alike >= 0.8].all() and not found[alike < 0.2].any()
+
+
 def test_dominated_leaves_a_maximal_independent_set(spark):
     rng = np.random.default_rng(4)
     pairs = {tuple(sorted(map(int, rng.integers(0, 200, 2)))) for _ in range(400)} | {(k, k + 1) for k in range(1000, 1200)}
