@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kelpline.llm import mixing, packing, quality, secrets, simhash
-from kelpline.llm.common import materialise, table
+from kelpline.llm.common import bound_batches, materialise, table
 from kelpline.llm.queries import tokenizer_path
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go; each row is judged by its own text."""
+    bound_batches(spark)
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
+    bound_batches(spark)
     return simhash.deduplicate(docs, similarity=0.8, words=5)
 
 
@@ -31,6 +33,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in training sequences."""
+    bound_batches(spark)
     return packing.pack(docs, tokenizer_path(), capacity=2048)
 
 

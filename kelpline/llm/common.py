@@ -34,6 +34,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Most rows and bytes of one Arrow batch of texts.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches hold BATCH_ROWS rows and BATCH_BYTES bytes at most (and a row over).
+
+    Smaller limits that the session has already are kept. Batches of 10,000
+    texts, Spark's own limit, make JVM and Python workers hold many copies of
+    tens of MB, which neither gives back. The settings stay, as results are lazy.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = int(spark.conf.get(key := f"spark.sql.execution.arrow.{name}").removesuffix("b"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 

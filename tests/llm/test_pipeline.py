@@ -1,7 +1,9 @@
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline as pipeline
 from kelpline.llm import packing
+from kelpline.llm.common import BATCH_BYTES, BATCH_ROWS
 from kelpline.llm.queries import QUERIES, tokenizer_path
 
 
@@ -61,3 +63,27 @@ def test_stages_survive_odd_documents(spark, sf_dir, documents, odd_rows):
 
 def test_one_query_for_each_operator():
     assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+
+
+def test_python_gets_small_batches(spark, sf_dir):
+    """Stages with Python workers bound their Arrow batches by rows and by bytes, and keep smaller limits."""
+    keys = [f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes")]
+    before = [spark.conf.get(k) for k in keys]
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "b": [batch.nbytes]})
+
+    try:
+        docs = spark.createDataFrame([(1, "a word", "a", 6)], "doc_id long, text string, source string, n_chars long")
+        assert pipeline.pack_sequences(spark, docs, sf_dir).count() == 1
+        for n, length in ((9000, 10), (1500, 20_000)):
+            seen = spark.range(0, n, 1, 1).selectExpr(f"repeat('x', {length}) AS text").mapInArrow(sizes, "n long, b long").collect()
+            assert sum(r["n"] for r in seen) == n
+            assert max(r["n"] for r in seen) <= BATCH_ROWS and max(r["b"] for r in seen) <= 2 * BATCH_BYTES
+        spark.conf.set(keys[0], "7")
+        pipeline.pack_sequences(spark, docs, sf_dir)
+        assert spark.conf.get(keys[0]) == "7"
+    finally:
+        for k, v in zip(keys, before, strict=True):
+            spark.conf.set(k, v)
